@@ -1,0 +1,5 @@
+"""No streaming operator exists in the modelled API: a static graph is scored in batch.
+
+A stream of vertex sets can still be scored by a stream-static join against
+``Graph.degrees``; every column expression used there is streaming-safe.
+"""
