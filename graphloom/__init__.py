@@ -1 +1,8 @@
-"""x"""
+"""Connectedness and enrichment statistics on large sparse graphs, as Spark plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# worker functions travel with the plan: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
