@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import cooccurrence, format_duplicates, frequencies, set_overlap, similar_sets
+from graphloom.llm import (
+    contamination,
+    cooccurrence,
+    format_duplicates,
+    frequencies,
+    lookalikes,
+    set_overlap,
+    similar_sets,
+    tokenizer,
+)
 from graphloom.plans.tables import table
 
 
+#: Folder with the public tokenizers' vocabulary files, on every executor.
+TOKENIZERS = "/opt/tokenizers"
+
+
 def _annotations(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "term_element_edges", "term", "element")
 
@@ -74,6 +87,44 @@ def p7_classes(spark: SparkSession, folder: str) -> DataFrame:
     return membership
 
 
+def p8_ids(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Token ids of every page."""
+    pages = table(spark, folder, "documents", "doc_id", "text")
+    return tokenizer.encode_texts(pages, f"{tokenizers}/byte_bpe_50k.tiktoken")
+
+
+def p8_round_trip(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Every page's text decoded from its ids."""
+    path = f"{tokenizers}/byte_bpe_50k.tiktoken"
+    coded = tokenizer.encode_texts(table(spark, folder, "documents", "doc_id", "text"), path)
+    return tokenizer.decode_texts(coded, path)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that reprint a passage of a test item."""
+    return p9_reprints(spark, folder).select("doc_id", "item_id")
+
+
+def p9_reprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that reprint a passage of a test item, with the length of the longest stretch."""
+    pages = table(spark, folder, "documents", "doc_id", "text", "boxes")
+    items = table(spark, folder, "benchmark", "item_id", "passage")
+    found = contamination.leaked_items(pages, items)
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "n_words")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages whose texts look the same but are different strings."""
+    found = lookalikes.alike_pairs(table(spark, folder, "documents", "doc_id", "text"))
+    return found.select(F.col("key_a").alias("doc_id_a"), F.col("key_b").alias("doc_id_b"))
+
+
+def p10_canonical(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page with the first page that looks the same."""
+    found = lookalikes.canonical_rows(table(spark, folder, "documents", "doc_id", "text"))
+    return found.select(F.col("key").alias("doc_id"), F.col("canonical_key").alias("canonical_doc_id"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -88,6 +139,12 @@ def queries() -> dict:
             p4_overlaps,
             p7_found,
             p7_classes,
+            p8_ids,
+            p8_round_trip,
+            p9_found,
+            p9_reprints,
+            p10_found,
+            p10_canonical,
         )
     }
 
@@ -157,6 +214,7 @@ m AS (SELECT term_a, term_b, n_a + n_b - shared = shared AS twin FROM o WHERE sh
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p1_found": _FREQUENCIES + "SELECT field_name, field_value, mark FROM f WHERE mark IS NOT NULL",
         "p1_frequencies": _FREQUENCIES + "SELECT * FROM f",
         "p2_found": _TOGETHER
