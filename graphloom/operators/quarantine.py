@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A vertex id, a score and a day as they may be written.
-VERTEX = "^[A-Za-z]{3}[-:_.][0-9]{9}$"
-SCORE = "^[0-9]+([.][0-9]+)?([eE][-+]?[0-9]+)?$"
-DAY = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+VERTEX = r"^[A-Za-z]{3}[-:_.][0-9]{9}\z"
+SCORE = r"^[0-9]+([.][0-9]+)?([eE][-+]?[0-9]+)?\z"
+DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 FIELDS = ("vertex1", "vertex2", "score", "seen_on")
 
 _QUOTED_TAB = "\x01"

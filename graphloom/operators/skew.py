@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Never more than this many values are reported as hot, so a list of them is always small.
-MAX_HOT = 512
+MAX_HOT = 2048
 #: Counters that the hot-value sketch tracks per column.
-TRACKED = 8192
+TRACKED = 32768
 
 
-def hot_values(df: DataFrame, columns: list[str], share: float = 1 / 2000) -> dict[str, list]:
+def hot_values(df: DataFrame, columns: list[str], share: float = 1 / 10_000) -> dict[str, list]:
     """Values that may stand in at least ``share`` of the rows of ``df``, per column.
 
     One map-side-combined pass with a frequent-items sketch per column; at most
@@ -91,7 +91,7 @@ def weighted_percentiles(
     rows = df.select(F.col(key).alias("key"), F.col(value).cast("double").alias("value"))
     rows = rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
     steps = [i / splitters for i in range(1, splitters)]
-    cuts = sorted(set(rows.approxQuantile("value", steps, 1 / (2 * splitters)) or []))
+    cuts = sorted(set(rows.approxQuantile("value", steps, 1 / (2 * splitters)) or [])) if steps else []
     counted = rows.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
     # number of cut points not above the value: an order-preserving range id
     band = (
