@@ -7,7 +7,7 @@ rows before the shuffle; per-key results are then derived from the weighted valu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Never more than this many values are reported as hot, so a list of them is always small.
@@ -16,12 +16,12 @@ MAX_HOT = 2048
 TRACKED = 32768
 
 
-def hot_values(df: DataFrame, columns: list[str], share: float = 1 / 10_000) -> dict[str, list]:
-    """Values that may stand in at least ``share`` of the rows of ``df``, per column.
+def hot_counts(df: DataFrame, columns: list[str], share: float = 1 / 10_000) -> dict[str, dict]:
+    """Values that may stand in at least ``share`` of the rows of ``df``, per column, with estimated counts.
 
     One map-side-combined pass with a frequent-items sketch per column; at most
-    ``MAX_HOT`` values per column reach the driver. The list steers layouts only:
-    results never depend on it. Nulls are never hot; an empty table has no hot values.
+    ``MAX_HOT`` values per column reach the driver. The estimates steer layouts only:
+    results never depend on them. Nulls are never hot; an empty table has no hot values.
     """
     wanted = [F.count(F.lit(1)).alias("__n")]
     for i, name in enumerate(columns):
@@ -30,16 +30,18 @@ def hot_values(df: DataFrame, columns: list[str], share: float = 1 / 10_000) ->
     row = df.select(*[F.col(c) for c in columns]).agg(*wanted).first()
     least = max(2.0, row["__n"] * share)
     return {
-        name: [x["item"] for x in row[f"__top{i}"] or [] if x["item"] is not None and x["count"] >= least]
+        name: {
+            x["item"]: x["count"]
+            for x in row[f"__top{i}"] or []
+            if x["item"] is not None and x["count"] >= least
+        }
         for i, name in enumerate(columns)
     }
 
 
-def salt(key: Column, member: Column, hot: list, salts: int) -> Column:
-    """0 for ordinary keys; for hot ones a hash of ``member`` below ``salts``."""
-    if not hot:
-        return F.lit(0)
-    return F.when(key.isin(hot), F.pmod(F.xxhash64(member), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+def hot_values(df: DataFrame, columns: list[str], share: float = 1 / 10_000) -> dict[str, list]:
+    """The values of ``hot_counts`` alone, the most frequent first."""
+    return {name: list(values) for name, values in hot_counts(df, columns, share).items()}
 
 
 def value_counts(df: DataFrame, key: str, value: str) -> DataFrame:
