@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import layout
+from graphloom.operators.skew import hot_counts
 from graphloom.session import durable
 
 #: Similarity expected between unrelated sets, and how many of them may share a prefix.
 BACKGROUND, CROWD = 0.1, 100
 #: Bits of the one-bit sketch, and standard deviations it may fall below its mean.
 BITS, SIGMAS = 128, 6.0
+#: Rows of a common prefix that one task compares; larger crowds are compared chunk by chunk.
+CHUNK = 20_000
 
 
 def forest_shape(sets: int, threshold: float, recall: float) -> tuple[int, int]:
@@ -174,11 +177,12 @@ def _merged(depth: int, trees: int, least_size: int):
 
 
 def _neighbours(threshold: float):
-    """(label, key, size, bits0, bits1) rows sorted by label -> pairs within common prefixes.
+    """(label, key, size, bits0, bits1, chunk, cross) rows sorted by label -> pairs within common prefixes.
 
     Rows are compared with the next, the second next and so on, as long as the prefix is
     the same: the work is the number of pairs, the memory that of the block. Sizes too
-    different and sketches too far apart for the threshold never leave the task.
+    different and sketches too far apart for the threshold never leave the task. Where
+    ``cross`` is set, only rows of different chunks are compared.
     """
     mean = (1 + threshold) / 2
     most = int(BITS * (1 - mean) + SIGMAS * math.sqrt(BITS * mean * (1 - mean)))
@@ -187,6 +191,8 @@ def _neighbours(threshold: float):
         for table, _ in _grouped(batches):
             label, size = np.asarray(table.column("label")), np.asarray(table.column("size"))
             bits = [np.asarray(table.column(c)).view(np.uint64) for c in ("bits0", "bits1")]
+            chunk = np.asarray(table.column("chunk"))
+            cross = table.column("cross").to_numpy()
             keys = table.column("key").combine_chunks()
             active, step = np.arange(table.num_rows), 0
             while True:
@@ -197,6 +203,7 @@ def _neighbours(threshold: float):
                     break
                 i, j = active, active + step
                 near = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+                near &= ~cross[i] | (chunk[i] != chunk[j])
                 i, j = i[near], j[near]
                 far = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits)
                 i, j = i[far <= most], j[far <= most]
@@ -206,6 +213,26 @@ def _neighbours(threshold: float):
     return run
 
 
+def _crowds_apart(labelled: DataFrame, crowds: dict[int, int]) -> DataFrame:
+    """Rows with a group to be compared in; prefixes of a large crowd become one group per pair of chunks.
+
+    A row of a crowd stands in one group for each chunk, so all pairs of the crowd are
+    compared, spread over as many tasks as there are pairs of chunks.
+    """
+    plain = labelled.withColumns({"chunk": F.lit(0), "cross": F.lit(False)})
+    if not crowds:
+        return plain
+    chunks = F.lit(1)
+    for label, n in crowds.items():
+        chunks = F.when(F.col("label") == label, math.ceil(n / CHUNK)).otherwise(chunks)
+    few = labelled.where(F.col("label").isin(list(crowds))).withColumn("chunks", chunks)
+    few = few.withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
+    few = few.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pair = F.xxhash64("label", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    few = few.withColumns({"label": pair, "cross": F.col("chunk") != F.col("other")}).drop("chunks", "other")
+    return plain.where(~F.col("label").isin(list(crowds))).unionByName(few)
+
+
 def _at_least(part: Column, whole: Column, threshold: float) -> Column:
     """part / whole >= threshold without rounding, for thresholds of up to four decimals."""
     return part * 10_000 >= whole * round(threshold * 10_000)
@@ -230,7 +257,8 @@ def similar_sets(
     Every set gets ``trees`` sorted labels of ``depth`` minhashes (``forest_shape``); sets
     with a common prefix in a tree are compared by size and by a 128-bit sketch, which
     loses a pair at the threshold with a probability below 1e-8, and what remains is
-    verified exactly on the members themselves. No group is capped. A pair at the very
+    verified exactly on the members themselves. No group is capped: a crowd behind one
+    prefix is compared chunk against chunk, in many tasks. A pair at the very
     threshold is found with probability ``recall``, others more surely.
 
     A set is one streamed group of one task unless its key is hot: the signature of a hot
@@ -261,6 +289,8 @@ def similar_sets(
     labelled = classes.select(
         F.explode("labels").alias("label"), F.col("class_key").alias("key"), "size", "bits0", "bits1"
     )
+    crowds = hot_counts(sketches.select(F.explode("labels").alias("label")), ["label"])["label"]
+    labelled = _crowds_apart(labelled, {label: n for label, n in crowds.items() if n > CHUNK})
     laid = labelled.repartition("label").sortWithinPartitions("label")
     near = laid.mapInArrow(_neighbours(threshold), "a string, b string")
     near = durable(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())

@@ -122,7 +122,11 @@ def brute_similar(sets, threshold, least):
     }
 
 
-def test_similar_keys(df, sets):
+@pytest.mark.parametrize("chunk", [20_000, 3])
+def test_similar_keys(df, sets, chunk, monkeypatch):
+    from graphloom.llm import similar_sets as module
+
+    monkeypatch.setattr(module, "CHUNK", chunk)
     want = brute_similar(sets, 0.7, 4)
     assert {("X1", "X2"), ("X1", "X4"), ("X2", "X5"), ("X4", "X5")} <= want
     assert {tuple(r) for r in similar_keys(df).collect()} == want
