@@ -132,6 +132,7 @@ def mixed_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(visible(F.col("text")))
     keyed = docs.select("key", *_hashes(coarse_shape(F.col("text")), "h0", "h1"), *_hashes(F.col("text"), "x0", "x1"))
+    keyed = durable(keyed)  # 40 bytes a row, read twice; mapping the texts costs far more
     group, string = ["h0", "h1"], ["h0", "h1", "x0", "x1"]
     both = F.struct("x0", "x1")
     mixed = keyed.groupBy(*group).agg(F.min(both).alias("lo"), F.max(both).alias("hi")).where("lo <> hi")
