@@ -58,7 +58,7 @@ class TermScoring:
 
     def two_m(self) -> Column:
         """2M, as a scalar subquery; every edge of the bipartite graph counts once for a term."""
-        return self.terms.agg((F.coalesce(F.sum("k"), F.lit(0)) * 2).alias("k2")).scalar()
+        return self.pairs.agg((F.count(F.lit(1)) * 2).alias("k2")).scalar()
 
 
 def score_element_set(scoring: TermScoring, sets: DataFrame, method: str = "optimized") -> DataFrame:

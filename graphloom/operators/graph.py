@@ -73,8 +73,8 @@ class Graph:
         )
 
     def two_m(self) -> Column:
-        """2M, as a scalar subquery."""
-        return self.degrees.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k2")).scalar()
+        """2M, as a scalar subquery: the rows of ``edges``, whose shuffle it shares."""
+        return self.edges.agg(F.count(F.lit(1)).alias("k2")).scalar()
 
     def to_dataframe(self, one_direction: bool = False) -> DataFrame:
         """(from_id, to_id): every edge in both directions, or once with the smaller id first."""

@@ -115,6 +115,27 @@ def hub_lambda_within(spark: SparkSession, folder: str, method: str) -> DataFram
     return _rounded(expected.lambda_within(graph, everything(graph), method=method), 4)
 
 
+def supplier_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line item as an edge between its supplier and its part, with its order."""
+    lines = table(spark, folder, "lineitem", "l_orderkey", "l_suppkey", "l_partkey")
+    names = [F.concat(F.lit("S"), "l_suppkey").alias("s"), F.concat(F.lit("P"), "l_partkey").alias("p")]
+    return lines.select(*names, F.col("l_orderkey").alias("set_id"))
+
+
+def order_lambda_within(spark: SparkSession, folder: str, method: str) -> DataFrame:
+    """One set per order, its suppliers and parts: many small sets in one job."""
+    lines = supplier_parts(spark, folder)
+    ends = lines.select("set_id", F.explode(F.array("s", "p")).alias("v"))
+    return _rounded(expected.lambda_within(Graph.from_edges(lines), ends, method=method))
+
+
+def order_lambda_between(spark: SparkSession, folder: str, method: str) -> DataFrame:
+    """One pair of sets per order, its suppliers and its parts."""
+    lines = supplier_parts(spark, folder)
+    sides = [lines.select("set_id", F.col(c).alias("v")) for c in ("s", "p")]
+    return _rounded(expected.lambda_between(Graph.from_edges(lines), *sides, method=method))
+
+
 def hub_suitability(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(expected.suitability(hubs(spark, folder)))
 
@@ -201,6 +222,8 @@ def queries() -> dict:
         out[f"net_lambda_within_{method}"] = partial(net_lambda_within, method=method)
         if method != "accurate":
             out[f"hub_lambda_within_{method}"] = partial(hub_lambda_within, method=method)
+        out[f"order_lambda_between_{method}"] = partial(order_lambda_between, method=method)
+        out[f"order_lambda_within_{method}"] = partial(order_lambda_within, method=method)
         out[f"term_set_scores_{method}"] = partial(term_set_scores, method=method)
     for statistic, rank_by in TABLES:
         out[f"term_rank_table_{statistic}_{rank_by}"] = partial(term_rank_table, statistic=statistic, rank_by=rank_by)
@@ -418,6 +441,21 @@ round(log2(x) - log2(lam), 6) AS log2_relative_change, round(p_value, 6) AS p_va
     one = ", sk AS (SELECT 0 AS set_id, v, k FROM d)"
     out["hub_lambda_within_fast"] = _HUB + one + f" SELECT * FROM {fast.format(d=4)}"
     out["hub_lambda_within_optimized"] = _HUB + one + _LAMBDA_IN + 'SELECT set_id, round(lam, 4) AS "lambda" FROM li'
+    lines = _graph_sql("SELECT 'S' || l_suppkey AS a, 'P' || l_partkey AS b FROM lineitem") + """,
+t AS (SELECT DISTINCT l_orderkey AS set_id, 1 AS side, 'S' || l_suppkey AS v FROM lineitem
+      UNION SELECT DISTINCT l_orderkey, 2, 'P' || l_partkey FROM lineitem),
+sk AS (SELECT t.*, d.k FROM t JOIN d USING (v)),
+si AS (SELECT DISTINCT set_id FROM t)"""
+    for method in expected.METHODS:
+        kl = "a.k * b.k / (SELECT m2 FROM mm)::DOUBLE"
+        total = f"sum({kl if method == 'fast' else f'least(1.0::DOUBLE, {kl})'})"
+        for name, condition in (("within", "a.v < b.v"), ("between", "a.side = 1 AND b.side = 2")):
+            out[f"order_lambda_{name}_{method}"] = (
+                lines
+                + f""", q AS (SELECT a.set_id, round({total}, 6) AS "lambda"
+  FROM sk a JOIN sk b ON a.set_id = b.set_id AND {condition} GROUP BY 1)"""
+                + by_set('"lambda"')
+            )
     members = ", s AS (SELECT DISTINCT set_id, vertex AS element FROM vertex_sets)"
     for method in expected.METHODS:
         out[f"term_set_scores_{method}"] = _TERMS + members + _set_scores(method != "fast")
