@@ -22,6 +22,8 @@ COLUMN_GAP = 150
 BLOCK_ITEMS = 20_000
 #: Words of a reprint, exact words that make a candidate worth verifying, words per misread and per missing one.
 WORDS, EXACT, MISREAD_EVERY, MISSING_EVERY = 12, 9, 6, 24
+#: Words that adverts may put between two parts of a reprint, and words that run together.
+INSERTED, SHIFTED = 60, 3
 _GAP = 8
 
 
@@ -213,25 +215,52 @@ def longest_reprint(states: np.ndarray) -> int:
     return int((length * fits).max(initial=0)) if n else 0
 
 
-def _verified(
+def _states(
     passage: list[str], page: list[str], cache: _Words, offsets: list[int], exact: np.ndarray, held: np.ndarray
-) -> int:
-    """The longest reprint of a passage on a page, over the given diagonals.
+) -> np.ndarray:
+    """Per passage word, whether some diagonal has it exactly (0), misread (1) or not at all (2).
 
-    ``exact`` says which passage words agree with the page on each diagonal, ``held``
-    where the diagonal is to be trusted; other words there are compared letter by letter.
+    A word that was cut in two, or run together with its neighbour, is not misread.
     """
-    states = np.where(exact.any(axis=0)[: len(passage)], 0, 2)
+    n = len(passage)
+    states = np.where(exact.any(axis=0)[:n], 0, 2)
     for offset, trusted in zip(offsets, held):
-        for k in np.flatnonzero(trusted[: len(passage)] & (states == 2)).tolist():
+        for k in np.flatnonzero(trusted[:n] & (states == 2)).tolist():
             p = offset + k
             if not 0 <= p < len(page):
                 continue
             before, own, after = (cache.plain(page[q]) if 0 <= q < len(page) else "" for q in (p - 1, p, p + 1))
             word = passage[k]
-            if _near(own, word) or own + after == word or before + own == word:
+            if own + after == word or before + own == word:
+                states[k] = 0
+            elif k + 1 < n and own == word + passage[k + 1]:
+                states[k : k + 2] = 0
+            elif k and own == passage[k - 1] + word:
+                states[k - 1 : k + 1] = 0
+            elif _near(own, word):
                 states[k] = 1
-    return longest_reprint(states)
+    return states
+
+
+def _verified(
+    passage: list[str], page: list[str], cache: _Words, offsets: list[int], exact: np.ndarray, held: np.ndarray
+) -> int:
+    """The longest reprint of a passage on a page, over the given diagonals.
+
+    ``exact`` says which passage words agree with the page on each diagonal, ``held``
+    where the diagonal is to be trusted; other words there are compared letter by letter.
+    Diagonals work together only if no more than ``INSERTED`` words lie between them.
+    """
+    at = np.array(offsets)
+    best, seen = 0, None
+    for offset in sorted(set(offsets)):
+        near = np.flatnonzero((at >= offset - SHIFTED) & (at <= offset + INSERTED))
+        if seen is not None and set(near) <= seen:
+            continue
+        seen = set(near)
+        states = _states(passage, page, cache, at[near].tolist(), exact[near], held[near])
+        best = max(best, longest_reprint(states))
+    return best
 
 
 def _sliding(flags: np.ndarray, width: int) -> np.ndarray:
