@@ -374,6 +374,16 @@ def oracle_sql() -> dict[str, str]:
         "net_count_between": _NET + _PAIRED + f", q AS ({count_between})" + by_pair("edge_count"),
         "net_max_within": _NET + _SETS + f", q AS ({max_in})" + by_set("max_edges"),
         "net_max_between": _NET + _PAIRED + f", q AS ({max_between})" + by_pair("max_edges"),
+        "net_max_within_degrees": _NET.replace("WITH raw", "WITH RECURSIVE raw")
+        + _SETS
+        + """,
+f AS (SELECT set_id, list_sort(list(k), 'DESC') AS r, 0 AS w FROM sk GROUP BY set_id
+  UNION ALL
+  SELECT set_id, list_sort(list_transform(c[2:], lambda d, i: CASE WHEN i <= c[1] THEN d - 1 ELSE d END), 'DESC'), w + c[1]
+  FROM (SELECT set_id, w, list_transform(o, lambda d: least(d, len(o) - 1)) AS c
+        FROM (SELECT set_id, w, list_filter(r, lambda d: d >= 1) AS o FROM f) WHERE len(o) >= 2)),
+q AS (SELECT set_id, CAST(max(w) AS DOUBLE) AS max_edges FROM f GROUP BY 1)"""
+        + by_set("max_edges"),
         "net_max_between_degrees": _NET
         + _PAIRED
         + """,
