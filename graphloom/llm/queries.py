@@ -212,8 +212,29 @@ m AS (SELECT term_a, term_b, n_a + n_b - shared = shared AS twin FROM o WHERE sh
 )
 
 
+def _shapes() -> str:
+    """The look-alike form of every visible page, with the normalisation that SQL offers."""
+    shapes = lookalikes.shape_map()
+    kept = [c for c, x in shapes.items() if x]
+    before = "".join(kept + [c for c, x in shapes.items() if not x])
+    after = "".join(shapes[c] for c in kept).replace("'", "''")
+    text = "text"
+    for c, letters in lookalikes.ligatures().items():
+        text = f"replace({text}, '{c}', '{letters}')"
+    return f"""
+WITH k AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '[^\\p{{Z}}\\p{{Cc}}\\p{{Cf}}]')
+             THEN nfc_normalize(translate({text}, '{before}', '{after}')) END AS s FROM documents)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p10_found": _shapes()
+        + """SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b
+FROM k a JOIN k b ON a.s = b.s AND a.doc_id < b.doc_id AND a.text <> b.text""",
+        "p10_canonical": _shapes()
+        + """SELECT doc_id, CASE WHEN s IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS canonical_doc_id
+FROM k""",
         "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p1_found": _FREQUENCIES + "SELECT field_name, field_value, mark FROM f WHERE mark IS NOT NULL",
         "p1_frequencies": _FREQUENCIES + "SELECT * FROM f",
