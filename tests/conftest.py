@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, partitions=4, memory="4g")
+    session = local_session(4, partitions=2, memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
