@@ -44,7 +44,9 @@ def edge_copies(df: DataFrame, key: str = "edge_id", ends: tuple[str, str] = ("v
     """
     raw = [F.col(c) for c in ends]
     rows = df.where(filled(raw[0]) & filled(raw[1]))
-    rows = rows.select(F.col(key).alias("key"), bare(raw[0]).alias("v"), bare(raw[1]).alias("w"))
+    # a generator of one row: the patterns run once per row, not again in every filter on their result
+    ends_bare = F.struct(bare(raw[0]).alias("v"), bare(raw[1]).alias("w"))
+    rows = rows.select(F.col(key).alias("key"), F.inline(F.array(ends_bare)))
     rows = rows.where((F.col("v") != "") & (F.col("w") != ""))
     rows = rows.withColumn("fp", _fingerprint([F.col("v"), F.col("w")], 0))
     hot = hot_values(rows, ["fp"])["fp"]
