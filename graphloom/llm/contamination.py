@@ -24,6 +24,8 @@ BLOCK_ITEMS = 20_000
 WORDS, EXACT, MISREAD_EVERY, MISSING_EVERY = 12, 9, 6, 24
 #: Words that adverts may put between two parts of a reprint, and words that run together.
 INSERTED, SHIFTED = 60, 3
+#: Single letters that are misread as two.
+CONFUSED = {"m": "rn", "w": "vv"}
 _GAP = 8
 
 
@@ -173,7 +175,8 @@ class Passages:
 def _near(word: str, other: str) -> bool:
     """Whether one word may be a misreading of the other: few edits for its length.
 
-    Another number is another statement, unless one digit of three or more is lost.
+    Another number is another statement, unless one digit of three or more is lost. A
+    letter against the two it is misread as (``CONFUSED``) is no edit.
     """
     if word == other:
         return True
@@ -183,14 +186,21 @@ def _near(word: str, other: str) -> bool:
         short, long = sorted((word, other), key=len)
         return len(long) == len(short) + 1 >= 3 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
     most = max(1, max(len(word), len(other)) // 3)
-    if abs(len(word) - len(other)) > most:
+    least = [len(w) - sum(w.count(two) for two in CONFUSED.values()) for w in (word, other)]
+    if least[0] - len(other) > most or least[1] - len(word) > most:
         return False
-    row = list(range(len(other) + 1))
+    rows = [list(range(len(other) + 1))]
     for i, a in enumerate(word, 1):
-        last, row[0] = row[0], i
+        row = [i]
         for j, b in enumerate(other, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
-    return row[-1] <= most
+            edits = min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (a != b))
+            if CONFUSED.get(b) == word[i - 2 : i]:
+                edits = min(edits, rows[i - 2][j - 1])
+            if CONFUSED.get(a) == other[j - 2 : j]:
+                edits = min(edits, rows[i - 1][j - 2])
+            row.append(edits)
+        rows.append(row)
+    return rows[-1][-1] <= most
 
 
 def longest_reprint(states: np.ndarray) -> int:

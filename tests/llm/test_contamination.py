@@ -140,3 +140,23 @@ def test_longest_reprint(states, words):
     import numpy as np
 
     assert c.longest_reprint(np.array(states)) == words
+
+
+def found_in(words, lines):
+    passages = c.Passages([7], [" ".join(words)])
+    return c.search_block([c.page_words(lines)], passages, c._Words(passages.vocabulary, passages.table))
+
+
+BEFORE, BEHIND = ["so far the older news of that week", "which nobody asked for"], ["then came rain", "and all went home"]
+
+
+@pytest.mark.parametrize("word, read", [("from", "frorn"), ("must", "rnust"), ("will", "vvill"), ("warm", "vvarrn"), ("mum", "rnurn")])
+def test_letters_misread_as_two(word, read):
+    words = [*WORDS[:7], word, *WORDS[8:16]]
+    body = [*WORDS[:7], read, *WORDS[8:16]]
+    assert found_in(words, [*BEFORE, " ".join(body), *BEHIND]) == [(0, 0, 16)]
+
+
+@pytest.mark.parametrize("word, other", [("boy", "born"), ("cow", "corn"), ("man", "barn"), ("from", "front")])
+def test_two_letters_are_not_any_letter(word, other):
+    assert not c._near(other, word)
