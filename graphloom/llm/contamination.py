@@ -16,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 MASKS = ("1111", "11011", "10111", "11101", "110011", "101101")
 #: Marks that break a word at the end of a line.
 BREAKS = "-=\u00ac~\u00ad\u2010\u2011\u2e17"
+#: Stands in a word where two halves met that a line's end had parted; no letter of its plain form.
+JOINT = "\n"
 #: Pixels between the left edges of lines that belong to different columns.
 COLUMN_GAP = 150
 #: Passages that are searched for in one pass over the pages; more are searched in blocks.
@@ -81,7 +83,10 @@ def reading_order(lines: list[str], left: list[int], top: list[int], right: list
 
 
 def page_words(lines: list[str]) -> list[str]:
-    """The words of ordered lines, those broken at a line's end put together."""
+    """The words of ordered lines, those broken at a line's end put together.
+
+    What the next line begins with need not be the other half, so ``JOINT`` keeps both apart.
+    """
     words: list[str] = []
     carried = ""
     for line in lines:
@@ -89,7 +94,7 @@ def page_words(lines: list[str]) -> list[str]:
         if not own:
             continue
         if carried:
-            own[0] = carried + own[0]
+            own[0] = carried + JOINT + own[0]
             carried = ""
         if own[-1][-1] in BREAKS and len(own[-1]) > 1:
             carried = own.pop()[:-1]
@@ -225,15 +230,47 @@ def longest_reprint(states: np.ndarray) -> int:
     return int((length * fits).max(initial=0)) if n else 0
 
 
+def _broken(
+    page: list[str], cache: _Words, offsets: list[int], asked: np.ndarray
+) -> Iterator[tuple[int, str, bool]]:
+    """(passage word's number, what it may be, if of two halves) where line ends put other words together.
+
+    A half may be a whole word; else the first one is continued by what a later diagonal
+    has for the same word.
+    """
+
+    def halves(p: int) -> list[tuple[str, str]]:
+        if not 0 <= p < len(page) or JOINT not in page[p]:
+            return []
+        parts = [cache.plain(x) for x in page[p].split(JOINT)]
+        return [("".join(parts[:i]), "".join(parts[i:])) for i in range(1, len(parts))]
+
+    for offset, row in zip(offsets, asked):
+        for k in np.flatnonzero(row).tolist():
+            for head, tail in halves(offset + k):
+                yield k, head, False
+                yield k, tail, False
+                for later in np.flatnonzero(asked[:, k]).tolist() if head else ():
+                    q = offsets[later] + k
+                    if offsets[later] > offset and 0 <= q < len(page):
+                        for rest in (cache.plain(page[q]), *(x for x, _ in halves(q)), *(x for _, x in halves(q))):
+                            yield k, head + rest, True
+
+
 def _states(
     passage: list[str], page: list[str], cache: _Words, offsets: list[int], exact: np.ndarray, held: np.ndarray
 ) -> np.ndarray:
     """Per passage word, whether some diagonal has it exactly (0), misread (1) or not at all (2).
 
-    A word that was cut in two, or run together with its neighbour, is not misread.
+    A word that was cut in two, or run together with its neighbour, is not misread; nor
+    is one broken at a line's end whose other half stands behind an advert.
     """
     n = len(passage)
     states = np.where(exact.any(axis=0)[:n], 0, 2)
+    broken = list(_broken(page, cache, offsets, held[:, :n] & (states == 2)))
+    for k, word, _ in broken:
+        if word == passage[k]:
+            states[k] = 0
     for offset, trusted in zip(offsets, held):
         for k in np.flatnonzero(trusted[:n] & (states == 2)).tolist():
             p = offset + k
@@ -249,6 +286,9 @@ def _states(
                 states[k - 1 : k + 1] = 0
             elif _near(own, word):
                 states[k] = 1
+    for k, word, both in broken:
+        if both and states[k] == 2 and _near(word, passage[k]):
+            states[k] = 1
     return states
 
 

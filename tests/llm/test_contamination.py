@@ -160,3 +160,29 @@ def test_letters_misread_as_two(word, read):
 @pytest.mark.parametrize("word, other", [("boy", "born"), ("cow", "corn"), ("man", "barn"), ("from", "front")])
 def test_two_letters_are_not_any_letter(word, other):
     assert not c._near(other, word)
+
+
+ADVERT = ["GRAND SALE of pots on Friday", "TWELVE LOTS, see the bills"]
+
+
+@pytest.mark.parametrize(
+    "first, advert, second",
+    [
+        ("wint-", ADVERT, "ersgate"),  # the halves are 12 words apart
+        ("wint-", ["SALE"], "ersgate"),
+        ("vvint-", ADVERT, "ersgate"),  # and a letter is misread
+        ("wint-", [*ADVERT, "all must-"], "ersgate"),  # the advert's last line ends broken, too
+        ("wintersgate~", ADVERT, ""),  # a stain behind a whole word
+        ("", [*ADVERT, "all must-"], "wintersgate"),
+    ],
+)
+def test_word_broken_by_an_advert(first, advert, second):
+    words = [*WORDS[:8], "wintersgate", *WORDS[8:15]]
+    lines = [" ".join([*WORDS[:8], first]), *advert, " ".join([second, *WORDS[8:15]])]
+    assert found_in(words, [*BEFORE, *lines, *BEHIND]) == [(0, 0, 16)]
+
+
+def test_other_half_is_missing():
+    words = [*WORDS[:8], "wintersgate", *WORDS[8:15]]
+    lines = [" ".join([*WORDS[:8], "wint-"]), *ADVERT, " ".join(["lamp", *WORDS[8:15]])]
+    assert found_in(words, [*BEFORE, *lines, *BEHIND]) == []
