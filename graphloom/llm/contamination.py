@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 MASKS = ("1111", "11011", "10111", "11101", "110011", "101101")
 #: Marks that break a word at the end of a line.
 BREAKS = "-=\u00ac~\u00ad\u2010\u2011\u2e17"
-#: Stands in a word where two halves met that a line's end had parted; no letter of its plain form.
+#: Stands in a word where a line begins, before it or where two halves met; no letter of its plain form.
 JOINT = "\n"
 #: Pixels between the left edges of lines that belong to different columns.
 COLUMN_GAP = 150
@@ -24,7 +24,7 @@ COLUMN_GAP = 150
 BLOCK_ITEMS = 20_000
 #: Words of a reprint, exact words that make a candidate worth verifying, words per misread and per missing one.
 WORDS, EXACT, MISREAD_EVERY, MISSING_EVERY = 12, 9, 6, 24
-#: Words that adverts may put between two parts of a reprint, and words that run together.
+#: Words between two parts of a reprint that need not be whole lines, and words that run together.
 INSERTED, SHIFTED = 60, 3
 #: Single letters that are misread as two.
 CONFUSED = {"m": "rn", "w": "vv"}
@@ -85,7 +85,8 @@ def reading_order(lines: list[str], left: list[int], top: list[int], right: list
 def page_words(lines: list[str]) -> list[str]:
     """The words of ordered lines, those broken at a line's end put together.
 
-    What the next line begins with need not be the other half, so ``JOINT`` keeps both apart.
+    What the next line begins with need not be the other half, so ``JOINT`` keeps both
+    apart; it also stands before the first word of every other line.
     """
     words: list[str] = []
     carried = ""
@@ -93,9 +94,8 @@ def page_words(lines: list[str]) -> list[str]:
         own = line.split()
         if not own:
             continue
-        if carried:
-            own[0] = carried + JOINT + own[0]
-            carried = ""
+        own[0] = carried + JOINT + own[0]
+        carried = ""
         if own[-1][-1] in BREAKS and len(own[-1]) > 1:
             carried = own.pop()[:-1]
         words += own
@@ -240,7 +240,7 @@ def _broken(
     """
 
     def halves(p: int) -> list[tuple[str, str]]:
-        if not 0 <= p < len(page) or JOINT not in page[p]:
+        if not 0 <= p < len(page) or JOINT not in page[p][1:]:
             return []
         parts = [cache.plain(x) for x in page[p].split(JOINT)]
         return [("".join(parts[:i]), "".join(parts[i:])) for i in range(1, len(parts))]
@@ -292,24 +292,65 @@ def _states(
     return states
 
 
+def _followers(fresh: np.ndarray, at: np.ndarray, found: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Per diagonal, the first passage word it may add to the diagonals ``near`` each other: 0 for those.
+
+    Another diagonal follows where one of them ends, in the passage's order and the
+    page's, if no word is missing there and at most ``INSERTED`` words or only whole lines
+    stand between. The number of words is that of the passage where a diagonal does not follow.
+    """
+    n = found.shape[1]
+    since = np.where(near, 0, n)
+    if near.all():
+        return since
+    place = at[:, None] + np.arange(n)
+    line = (place >= 0) & (place < len(fresh)) & fresh[np.clip(place, 0, len(fresh) - 1)]
+    for k in range(1, n):
+        last = found[:, k - 1] & (since < k)
+        if not last.any():
+            continue
+        new = (at > at[last].min()) & (at <= at[last].max() + INSERTED)
+        if (last := last & line[:, k]).any():
+            new |= (at > at[last].min()) & line[:, k]
+        for y in at[new & found[:, k] & (since == n)].tolist():
+            since[(since == n) & (at >= y - SHIFTED) & (at <= y + INSERTED)] = k
+    return since
+
+
 def _verified(
-    passage: list[str], page: list[str], cache: _Words, offsets: list[int], exact: np.ndarray, held: np.ndarray
+    passage: list[str],
+    page: list[str],
+    fresh: np.ndarray,
+    cache: _Words,
+    offsets: list[int],
+    exact: np.ndarray,
+    held: np.ndarray,
 ) -> int:
     """The longest reprint of a passage on a page, over the given diagonals.
 
     ``exact`` says which passage words agree with the page on each diagonal, ``held``
     where the diagonal is to be trusted; other words there are compared letter by letter.
-    Diagonals work together only if no more than ``INSERTED`` words lie between them.
+    ``fresh`` says which of the page's words begin a line. Diagonals work together if no
+    more than ``INSERTED`` words lie between them, or if they follow one another.
     """
-    at = np.array(offsets)
+    at, n = np.array(offsets), len(passage)
+    exact, held = exact[:, :n], held[:, :n]
+    found = exact.copy()
+    for d, k in np.argwhere(held & ~exact).tolist() if at.max() - at.min() > INSERTED else ():
+        if 0 <= at[d] + k < len(page) and (own := cache.plain(page[at[d] + k])):
+            found[d, k] = passage[k].endswith(own) or _near(own, passage[k])
     best, seen = 0, None
     for offset in sorted(set(offsets)):
-        near = np.flatnonzero((at >= offset - SHIFTED) & (at <= offset + INSERTED))
-        if seen is not None and set(near) <= seen:
+        since = _followers(fresh, at, found, (at >= offset - SHIFTED) & (at <= offset + INSERTED))
+        if seen is not None and (since >= seen).all():
             continue
-        seen = set(near)
-        states = _states(passage, page, cache, at[near].tolist(), exact[near], held[near])
+        seen = since
+        near = np.flatnonzero(since < n)
+        allowed = np.arange(n) >= since[near, None]
+        states = _states(passage, page, cache, at[near].tolist(), exact[near] & allowed, held[near] & allowed)
         best = max(best, longest_reprint(states))
+        if best == n:
+            break
     return best
 
 
@@ -349,7 +390,7 @@ def search_block(pages: list[list[str]], passages: Passages, cache: _Words) -> l
     counts = np.diff(np.append(starts, len(hits)))
     hits = hits[np.repeat(total >= 3, counts)]
     padded = np.concatenate((np.zeros(passages.width, np.int64), numbers, np.zeros(passages.width, np.int64)))
-    at = 0
+    at, opened = 0, -1
     while at < len(hits):  # blocks of whole (page, item) pairs
         end = min(at + 20_000, len(hits))
         while end < len(hits) and (hits[end, :2] == hits[end - 1, :2]).all():
@@ -382,8 +423,11 @@ def search_block(pages: list[list[str]], passages: Passages, cache: _Words) -> l
             page, item = int(rows[0, 0]), int(rows[0, 1])
             near = slice(starts[i], ends[i])
             offsets = (rows[:, 2] - begins[page]).tolist()
-            words = [pages[page][k] for k in kept[page]]
-            if length := _verified(passages.words[item], words, cache, offsets, exact[near], wide[near]):
+            if page != opened:
+                opened, words = page, [pages[page][k] for k in kept[page]]
+                lines = np.cumsum([JOINT in w for w in pages[page]])[kept[page]]
+                fresh = np.diff(lines, prepend=0) > 0
+            if length := _verified(passages.words[item], words, fresh, cache, offsets, exact[near], wide[near]):
                 reprints.append((page, item, length))
     return reprints
 
@@ -443,7 +487,8 @@ def leaked_items(
     another number of them than lines, in the order of the text). Words broken at line
     ends are put together and brought to one form. ``n_words`` is the longest stretch in
     which at most one word in six is misread or missing; what stands between two parts of
-    it, such as an advert, does not count. Null and empty texts and passages, and
+    it, such as an advert, does not count: any number of whole lines, or ``INSERTED`` words
+    where a part ends or begins within a line. Null and empty texts and passages, and
     passages of fewer words, match nothing; repeated rows each give their own; an empty
     table gives no rows; other columns are not read.
 

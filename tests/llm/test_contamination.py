@@ -186,3 +186,27 @@ def test_other_half_is_missing():
     words = [*WORDS[:8], "wintersgate", *WORDS[8:15]]
     lines = [" ".join([*WORDS[:8], "wint-"]), *ADVERT, " ".join(["lamp", *WORDS[8:15]])]
     assert found_in(words, [*BEFORE, *lines, *BEHIND]) == []
+
+
+def inserted(n):
+    return [f"item {i} of the long list of goods" for i in range(n // 8)]
+
+
+@pytest.mark.parametrize("gap", [40, 80, 400])
+def test_parts_far_from_each_other(gap):
+    words = WORDS[:18]
+    lines = [*BEFORE, " ".join(words[:6]), *inserted(gap), " ".join(words[6:12]), *inserted(gap), " ".join(words[12:]), *BEHIND]
+    assert found_in(words, lines) == [(0, 0, 18)]
+
+
+def test_far_parts_in_other_order_or_within_lines():
+    words = WORDS[:14]
+    one, other = " ".join(words[:7]), " ".join(words[7:])
+    assert found_in(words, [*BEFORE, other, *inserted(80), one, *BEHIND]) == []
+    assert found_in(words, [*BEFORE, f"{one} was said", *inserted(80), f"and so {other}", *BEHIND]) == []
+
+
+def test_word_broken_by_many_lines():
+    words = [*WORDS[:8], "wintersgate", *WORDS[8:15]]
+    lines = [" ".join([*WORDS[:8], "wint-"]), *inserted(80), " ".join(["ersgate", *WORDS[8:15]])]
+    assert found_in(words, [*BEFORE, *lines, *BEHIND]) == [(0, 0, 16)]
