@@ -26,8 +26,11 @@ BLOCK_ITEMS = 20_000
 WORDS, EXACT, MISREAD_EVERY, MISSING_EVERY = 12, 9, 6, 24
 #: Words between two parts of a reprint that need not be whole lines, and words that run together.
 INSERTED, SHIFTED = 60, 3
+#: Exact words from which a stretch is completed by parts without a seed, and letters such a part has to share.
+STRETCH, LETTERS = 5, 6
 #: Single letters that are misread as two.
 CONFUSED = {"m": "rn", "w": "vv"}
+UNSURE = set("mrnwv")
 _GAP = 8
 
 
@@ -194,6 +197,9 @@ def _near(word: str, other: str) -> bool:
     least = [len(w) - sum(w.count(two) for two in CONFUSED.values()) for w in (word, other)]
     if least[0] - len(other) > most or least[1] - len(word) > most:
         return False
+    letters, others = set(word), set(other)  # a letter that only one has is an edit, but for the confused ones
+    if len(letters - others - UNSURE) > most or len(others - letters - UNSURE) > most:
+        return False
     rows = [list(range(len(other) + 1))]
     for i, a in enumerate(word, 1):
         row = [i]
@@ -204,6 +210,8 @@ def _near(word: str, other: str) -> bool:
             if CONFUSED.get(a) == other[j - 2 : j]:
                 edits = min(edits, rows[i - 1][j - 2])
             row.append(edits)
+        if min(row) > most and min(rows[-1]) > most:
+            return False
         rows.append(row)
     return rows[-1][-1] <= most
 
@@ -354,6 +362,67 @@ def _verified(
     return best
 
 
+def _short_parts(
+    passage: list[str], page: list[str], fresh: np.ndarray, cache: _Words, offsets: list[int], exact: np.ndarray
+) -> list[tuple[int, list[int], list[int]]]:
+    """(diagonal, its passage words, those that are exact) of parts too short for a seed.
+
+    Where a stretch ends with a line, the passage's next words are looked for at the
+    beginnings of the next lines, up to ``INSERTED`` words on; where it begins with a
+    line, those before at the ends of the lines before. Words are exact or, from four
+    letters on, misread; the exact ones have at least ``LETTERS`` letters together.
+    """
+    n, lines = len(passage), np.flatnonzero(fresh)
+
+    def agrees(p: int, k: int, head: str = "") -> int:  # 2 exact, 1 misread
+        if not (0 <= p < len(page) and 0 <= k < n):
+            return 0
+        own, word = head + cache.plain(page[p].split(JOINT)[-1] if head else page[p]), passage[k]
+        return 2 if own == word else int(len(word) >= 4 and _near(own, word))
+
+    def head(p: int) -> str:
+        return cache.plain(page[p].rpartition(JOINT)[0])
+
+    def part(p: int, k: int, step: int, joined: int) -> tuple[list[int], list[int]]:
+        run, same = ([k], [k] * (joined == 2)) if joined else ([], [])
+        i = step if joined or step < 0 else 0
+        while how := agrees(p + i, k + i):
+            run.append(k + i)
+            same += [k + i] * (how == 2)
+            i += step
+        return run, same
+
+    queue = [(o, row[:n].copy()) for o, row in zip(offsets, exact)]
+    done, found = set(), []
+    while queue:
+        offset, row = queue.pop()
+        for p in lines[np.searchsorted(lines, offset + 1) : np.searchsorted(lines, offset + n)].tolist():
+            k = p - offset
+            tries = []
+            if row[max(0, k - 3) : k].any() and not row[k : k + 2].all() and agrees(p - 1, k - 1):
+                behind = lines[np.searchsorted(lines, p + 1) : np.searchsorted(lines, p + INSERTED, "right")]
+                first = head(p)
+                tries += [(q, 1, agrees(q, k, first) if first else 0) for q in behind.tolist()]
+            if row[k : k + 3].any() and not row[max(0, k - 2) : k].all():
+                before = lines[np.searchsorted(lines, p - INSERTED) : np.searchsorted(lines, p)]
+                whole = agrees(p, k)
+                for q in before.tolist():
+                    joined = agrees(p, k, first) if (first := head(q)) else 0
+                    if joined or whole:
+                        tries.append((q, -1, joined))
+            for q, step, joined in tries:
+                if (q - k, k, step) in done:
+                    continue
+                done.add((q - k, k, step))
+                run, same = part(q, k, step, joined)
+                if sum(len(passage[j]) for j in same) >= LETTERS:
+                    found.append((q - k, run, [j for j in same if j != k or not joined]))
+                    new = np.zeros(n, bool)
+                    new[run] = True
+                    queue.append((q - k, new))
+    return found
+
+
 def _sliding(flags: np.ndarray, width: int) -> np.ndarray:
     """Sums over windows of ``width`` columns."""
     sums = np.cumsum(np.pad(flags.astype(np.int16), ((0, 0), (1, 0))), axis=1, dtype=np.int16)
@@ -416,7 +485,8 @@ def search_block(pages: list[list[str]], passages: Passages, cache: _Words) -> l
         change = np.flatnonzero((np.diff(block[:, :2], axis=0) != 0).any(axis=1)) + 1
         starts = np.concatenate(([0], change))
         covered = np.logical_or.reduceat(exact, starts, axis=0)
-        enough = np.flatnonzero((_sliding(covered, WORDS) >= EXACT).any(axis=1))
+        most = _sliding(covered, WORDS).max(axis=1)
+        enough = np.flatnonzero(most >= STRETCH)
         ends = np.append(starts[1:], len(block))
         for i in enough:
             rows = block[starts[i] : ends[i]]
@@ -427,7 +497,16 @@ def search_block(pages: list[list[str]], passages: Passages, cache: _Words) -> l
                 opened, words = page, [pages[page][k] for k in kept[page]]
                 lines = np.cumsum([JOINT in w for w in pages[page]])[kept[page]]
                 fresh = np.diff(lines, prepend=0) > 0
-            if length := _verified(passages.words[item], words, fresh, cache, offsets, exact[near], wide[near]):
+            asked, length = (passages.words[item], words, fresh, cache), 0
+            if most[i] >= EXACT:
+                length = _verified(*asked, offsets, exact[near], wide[near])
+            if not length and (short := _short_parts(*asked, offsets, exact[near])):
+                same, trusted = (np.zeros((len(short), exact.shape[1]), bool) for _ in range(2))
+                for j, (_, run, agreed) in enumerate(short):
+                    trusted[j, run] = same[j, agreed] = True
+                more = offsets + [o for o, *_ in short]
+                length = _verified(*asked, more, np.vstack((exact[near], same)), np.vstack((wide[near], trusted)))
+            if length:
                 reprints.append((page, item, length))
     return reprints
 

@@ -210,3 +210,25 @@ def test_word_broken_by_many_lines():
     words = [*WORDS[:8], "wintersgate", *WORDS[8:15]]
     lines = [" ".join([*WORDS[:8], "wint-"]), *inserted(80), " ".join(["ersgate", *WORDS[8:15]])]
     assert found_in(words, [*BEFORE, *lines, *BEHIND]) == [(0, 0, 16)]
+
+
+@pytest.mark.parametrize("sizes", [(3, 9), (9, 3), (2, 10), (11, 1), (3, 9, 3), (3, 6, 3)])
+def test_short_parts_behind_adverts(sizes):
+    words, lines, at = WORDS[: sum(sizes)], [], 0
+    for n in sizes:
+        lines += [*(ADVERT if lines else []), " ".join(words[at : at + n])]
+        at += n
+    assert found_in(words, [*BEFORE, *lines, *BEHIND]) == [(0, 0, len(words))]
+
+
+def test_short_part_begins_with_a_broken_word():
+    lines = [" ".join([*WORDS[:9], WORDS[9][:4] + "-"]), *ADVERT, " ".join([WORDS[9][4:], *WORDS[10:12]])]
+    assert found_in(WORDS[:12], [*BEFORE, *lines, *BEHIND]) == [(0, 0, 12)]
+    lines = [" ".join([*WORDS[:2], WORDS[2][:4] + "-"]), *ADVERT, " ".join([WORDS[2][4:], *WORDS[3:12]])]
+    assert found_in(WORDS[:12], [*BEFORE, *lines, *BEHIND]) == [(0, 0, 12)]
+
+
+def test_word_within_a_line_is_no_part():
+    words = [*WORDS[:11], "which"]
+    assert found_in(words, [*BEFORE, " ".join(words[:11]), "and which", *ADVERT, "the which", *BEHIND]) == []
+    assert found_in([*WORDS[:11], "the"], [*BEFORE, " ".join(words[:11]), *ADVERT, "the pots", *BEHIND]) == []
