@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,29 +13,45 @@ from pyspark.sql import functions as F
 from graphloom.session import durable
 
 #: Cyrillic and Greek letters with the shape of the Latin letter below them.
-CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһӏԁԛԝѵ"
-AS_LATIN = "ABESIJKMHOPCTYXYGQWaesijopcyxhldqwv"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ"
-AS_LATIN_GREEK = "ABEZHIKMNOPTYXovcj"
+CYRILLIC = "АВЕЅІЈКМНОРСТУХҮӀԌԚԜаеѕіјорсухһӏԁԛԝѵ"
+AS_LATIN = "ABESIJKMHOPCTYXYIGQWaesijopcyxhldqwv"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹνορϲϳ"
+AS_LATIN_GREEK = "ABEZHIKMNOPTYXCvopcj"
+#: Cyrillic letters with the shape of the Greek letter below them, but of no Latin one.
+CYRILLIC_ONLY = "ГПФ"
+AS_GREEK = "ΓΠΦ"
 #: Characters without width.
-WIDTHLESS = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff"
+WIDTHLESS = (
+    "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u180f\u200b\u200c\u200d\u200e\u200f"
+    "\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
+)
+#: Leading consonants start here, syllables there, so many syllables per leading consonant.
+JAMO, HANGUL, PER_JAMO = 0x1100, 0xAC00, 588
 
 #: Keys that are broadcast to fetch their texts (16 bytes each); beyond it they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 
+def _letters() -> dict[str, str]:
+    return dict(zip(CYRILLIC + GREEK + CYRILLIC_ONLY, AS_LATIN + AS_LATIN_GREEK + AS_GREEK, strict=True))
+
+
+def _code_points() -> Iterator[str]:
+    return (chr(code) for code in range(sys.maxunicode + 1) if not 0xD800 <= code < 0xE000)
+
+
 @functools.cache
 def shape_map() -> dict[str, str]:
     """Single characters to the character they look like, the empty string for nothing at all.
 
     Full-width forms, space characters and the accented forms of look-alike letters
-    follow from the Unicode data; accents themselves stay.
+    follow from the Unicode data; accents themselves stay. Forms of several characters
+    are in ``spelled_out``.
     """
-    letters = dict(zip(CYRILLIC + GREEK, AS_LATIN + AS_LATIN_GREEK, strict=True))
+    letters = _letters()
     out = dict(letters)
-    for code in range(sys.maxunicode + 1):
-        c = chr(code)
-        if 0xD800 <= code < 0xE000 or c in out:
+    for c in _code_points():
+        if c in out:
             continue
         kind = unicodedata.decomposition(c)
         if unicodedata.category(c) == "Zs":
@@ -43,15 +60,20 @@ def shape_map() -> dict[str, str]:
             wide = unicodedata.normalize("NFKC", c)
             if len(wide) == 1:
                 out[c] = letters.get(wide, wide)
-        elif kind and not kind.startswith("<"):
-            base = unicodedata.normalize("NFD", c)
-            if base[0] in letters:
-                plain = unicodedata.normalize("NFC", letters[base[0]] + base[1:])
-                if len(plain) == 1:
-                    out[c] = plain
+        elif len(plain := _accented(c, letters)) == 1:
+            out[c] = plain
     return out | dict.fromkeys(WIDTHLESS, "")
 
 
+def _accented(c: str, letters: dict[str, str]) -> str:
+    """The composed form of an accented look-alike with its new base, empty for other characters."""
+    kind = unicodedata.decomposition(c)
+    if not kind or kind.startswith("<"):
+        return ""
+    base = unicodedata.normalize("NFD", c)
+    return unicodedata.normalize("NFC", letters[base[0]] + base[1:]) if base[0] in letters else ""
+
+
 @functools.cache
 def ligatures() -> dict[str, str]:
     """Latin ligatures with a compatibility form, to their letters."""
@@ -64,20 +86,37 @@ def ligatures() -> dict[str, str]:
     return out
 
 
+@functools.cache
+def spelled_out() -> dict[str, str]:
+    """Ligatures, and accented look-alikes whose new base has no composed form with the accent."""
+    letters = _letters()
+    return ligatures() | {c: x for c in _code_points() if len(x := _accented(c, letters)) > 1}
+
+
 @functools.cache
 def bare_map() -> dict[str, str]:
-    """``shape_map`` with every accented letter brought down to its base, too."""
+    """``shape_map`` with every accented letter brought down to its base, and what a collation may ignore to nothing.
+
+    A Hangul syllable becomes its leading consonant, as its parts do.
+    """
     shapes = shape_map()
     out = dict(shapes)
-    for code in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= code < 0xE000:
+    for c in _code_points():
+        if unicodedata.category(c) in ("Mn", "Mc", "Me", "Cf") or (unicodedata.category(c) == "Cc" and not c.isspace()):
+            out[c] = ""
+            continue
+        if ord(c) < 0x80:
             continue
-        c = shapes.get(chr(code), chr(code))
-        base = unicodedata.normalize("NFD", c)[:1] if c else ""
+        x = shapes.get(c, c)
+        base = unicodedata.normalize("NFD", x)[:1] if x else ""
         base = shapes.get(base, base)
-        if base != chr(code):
-            out[chr(code)] = base
-    return {c: x for c, x in out.items() if not "가" <= c <= "힣"}  # composed Hangul is left to the filter
+        if unicodedata.category(base or " ")[0] == "M" or JAMO + 0x60 <= ord(base or " ") < JAMO + 0x100:
+            base = ""
+        if base != c:
+            out[c] = base
+    for code in range(HANGUL, HANGUL + 19 * PER_JAMO):
+        out[chr(code)] = chr(JAMO + (code - HANGUL) // PER_JAMO)
+    return out | {chr(code): "" for code in range(JAMO + 0x60, JAMO + 0x100)}  # vowels and final consonants
 
 
 def _translated(text: Column, table: dict[str, str]) -> Column:
@@ -86,12 +125,12 @@ def _translated(text: Column, table: dict[str, str]) -> Column:
     return F.translate(text, "".join(kept + gone), "".join(table[c] for c in kept))
 
 
-def _split(text: Column) -> Column:
-    """Ligatures as letters; a text without any is not rewritten."""
+def _split(text: Column, table: dict[str, str]) -> Column:
+    """Characters that stand for several, spelled out; a text without any is not rewritten."""
     split = text
-    for c, letters in ligatures().items():
+    for c, letters in table.items():
         split = F.replace(split, F.lit(c), F.lit(letters))
-    return F.when(text.rlike("[" + "".join(ligatures()) + "]"), split).otherwise(text)
+    return F.when(text.rlike("[" + "".join(table) + "]"), split).otherwise(text)
 
 
 def same_shape(text: Column) -> Column:
@@ -100,12 +139,13 @@ def same_shape(text: Column) -> Column:
     Two values of this column are equal if and only if the texts look the same: composed
     and combining accents, and characters without width, are settled by the collation.
     """
-    return F.collate(_translated(_split(text), shape_map()), "UNICODE")
+    return F.collate(_translated(_split(text, spelled_out()), shape_map()), "UNICODE")
 
 
 def coarse_shape(text: Column) -> Column:
-    """ASCII letters and digits of the mapped text without accents: equal for all texts of one shape."""
-    return F.regexp_replace(_translated(_split(text), bare_map()), "[^A-Za-z0-9]+", "")
+    """The mapped text without accents and ignorable characters, in every script: equal for all texts of one shape."""
+    plain = text.rlike(r"\A[\t\n\r\x20-\x7e]*+\z")  # nothing to map in it
+    return F.when(plain, text).otherwise(_translated(_split(text, ligatures()), bare_map()))
 
 
 def visible(text: Column) -> Column:

@@ -212,14 +212,23 @@ m AS (SELECT term_a, term_b, n_a + n_b - shared = shared AS twin FROM o WHERE sh
 )
 
 
+# fixed values, written apart from the operator's own tables: letters of one shape, their accented forms,
+# full-width forms (code points of ASCII plus 0xFEE0), single spaces, characters without width
+_LETTERS = "АВЕЅІЈКМНОРСТУХаеѕіјорсухΑΒΕΖΗΙΚΜΝΟΡΤΥΧορνГПФЀЁЇЌѐёїΆΈΊΌΎΪΫόӐӒӖӢӦӮӰӑӓӗӧӯӱ"
+_AS_LETTERS = "ABESIJKMHOPCTYXaesijopcyxABEZHIKMNOPTYXopvΓΠΦÈËÏḰèëïÁÉÍÓÝÏŸóĂÄĔ\u04e2ÖȲŸăäĕöȳÿ"
+_FULL_WIDTH, _HALF_WIDTH = ("".join(map(chr, range(0x21 + shift, 0x7F + shift))) for shift in (0xFEE0, 0))
+_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_NO_WIDTH = "\u00ad\u034f\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff"
+_SPELLED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij"}
+_SPELLED |= {"Ή": "H\u0301", "Ѓ": "Γ\u0301", "Ў": "Y\u0306", "ў": "y\u0306"}
+
+
 def _shapes() -> str:
     """The look-alike form of every visible page, with the normalisation that SQL offers."""
-    shapes = lookalikes.shape_map()
-    kept = [c for c, x in shapes.items() if x]
-    before = "".join(kept + [c for c, x in shapes.items() if not x])
-    after = "".join(shapes[c] for c in kept).replace("'", "''")
+    before = _LETTERS + _FULL_WIDTH + _SPACES + _NO_WIDTH
+    after = (_AS_LETTERS + _HALF_WIDTH + " " * len(_SPACES)).replace("'", "''")
     text = "text"
-    for c, letters in lookalikes.ligatures().items():
+    for c, letters in _SPELLED.items():
         text = f"replace({text}, '{c}', '{letters}')"
     return f"""
 WITH k AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '[^\\p{{Z}}\\p{{Cc}}\\p{{Cf}}]')

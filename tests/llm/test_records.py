@@ -103,6 +103,7 @@ def test_blocks_and_cache_do_not_matter(spark, reference_ids, monkeypatch):
 
 def shape(text):
     letters = dict(zip(lookalikes.CYRILLIC + lookalikes.GREEK, lookalikes.AS_LATIN + lookalikes.AS_LATIN_GREEK))
+    letters |= dict(zip(lookalikes.CYRILLIC_ONLY, lookalikes.AS_GREEK))
     out = []
     for c in unicodedata.normalize("NFD", text):
         c = unicodedata.normalize("NFKC", c) if 0xFF00 <= ord(c) <= 0xFFEF or 0xFB00 <= ord(c) <= 0xFB06 else c
@@ -141,3 +142,34 @@ def test_distinctions_stay(spark):
     texts = ["resume", "résume", "Resume", "resume.", "resume\n", "re sume", "resume1", "rèsume"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert lookalikes.alike_pairs(df).count() == 0
+
+
+def test_accents_without_a_composed_form(spark):
+    pairs = [("ΠΟΥΛΉΘΗ", "ΠΟΥΛΗ\u0301ΘΗ"), ("Ўсё", "У\u0306сё"), ("ΠΟΥΛΉΘΗ", "ΠOΥΛH\u0301ΘH"), ("ГΦ", "ΓФ"), ("Ѓ", "Γ\u0301")]
+    for a, b in pairs:
+        df = spark.createDataFrame([(1, a), (2, b), (3, a + "x")], "doc_id long, text string")
+        assert [tuple(r) for r in lookalikes.alike_pairs(df).collect()] == [(1, 2)], (a, b)
+
+
+def test_forms_of_every_script_are_coarse_apart(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(14)
+    for letters in ("абвгд", "αβγδε", "あいうえお", "가각난닫랄", "אבגדה"):
+        texts = ["".join(rng.choices(letters, k=30)) for _ in range(2000)]
+        df = spark.createDataFrame([(t,) for t in texts], "text string")
+        coarse = df.groupBy(lookalikes.coarse_shape(F.col("text"))).count().agg(F.max("count")).first()[0]
+        assert coarse < 20
+
+
+def test_every_character_has_the_coarse_form_of_its_shape():
+    bare, shapes, spelled = lookalikes.bare_map(), lookalikes.shape_map(), lookalikes.spelled_out()
+
+    def coarse(text):
+        return "".join(bare.get(c, c) for c in text)
+
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x20000))):
+        same = "".join(shapes.get(x, x) for x in spelled.get(c, c))
+        plain = lookalikes.ligatures().get(c, c)
+        for form in ("NFC", "NFD"):
+            assert coarse(unicodedata.normalize(form, same)) == coarse(plain) == coarse(unicodedata.normalize(form, plain)), hex(ord(c))
