@@ -7,7 +7,7 @@ rows before the shuffle; per-key results are then derived from the weighted valu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Never more than this many values are reported as hot, so a list of them is always small.
@@ -16,19 +16,22 @@ MAX_HOT = 2048
 TRACKED = 32768
 
 
-def hot_counts(df: DataFrame, columns: list[str], share: float = 1 / 10_000) -> dict[str, dict]:
+def hot_counts(
+    df: DataFrame, columns: list[str], share: float = 1 / 10_000, extra: dict[str, Column] | None = None
+) -> dict[str, dict]:
     """Values that may stand in at least ``share`` of the rows of ``df``, per column, with estimated counts.
 
     One map-side-combined pass with a frequent-items sketch per column; at most
     ``MAX_HOT`` values per column reach the driver. The estimates steer layouts only:
     results never depend on them. Nulls are never hot; an empty table has no hot values.
+    ``extra`` aggregates are taken in the same pass and returned under their names.
     """
-    wanted = [F.count(F.lit(1)).alias("__n")]
+    wanted = [F.count(F.lit(1)).alias("__rows"), *[c.alias(f"__{n}") for n, c in (extra or {}).items()]]
     for i, name in enumerate(columns):
         quoted = "`" + name.replace("`", "``") + "`"
         wanted.append(F.expr(f"approx_top_k({quoted}, {MAX_HOT}, {TRACKED})").alias(f"__top{i}"))
     row = df.select(*[F.col(c) for c in columns]).agg(*wanted).first()
-    least = max(2.0, row["__n"] * share)
+    least = max(2.0, row["__rows"] * share)
     return {
         name: {
             x["item"]: x["count"]
@@ -36,7 +39,7 @@ def hot_counts(df: DataFrame, columns: list[str], share: float = 1 / 10_000) ->
             if x["item"] is not None and x["count"] >= least
         }
         for i, name in enumerate(columns)
-    }
+    } | {name: row[f"__{name}"] for name in extra or {}}
 
 
 def hot_values(df: DataFrame, columns: list[str], share: float = 1 / 10_000) -> dict[str, list]:
