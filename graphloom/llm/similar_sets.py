@@ -15,23 +15,34 @@ from graphloom.llm import layout
 from graphloom.operators.skew import hot_counts
 from graphloom.session import durable
 
-#: Similarity expected between unrelated sets, and how many of them may share a prefix.
+#: Similarity expected between unrelated sets, and rows of a neighbourhood that are compared without a longer prefix.
 BACKGROUND, CROWD = 0.1, 100
+#: Minhashes of the shortest prefix that makes a neighbourhood.
+SHORTEST = 2
 #: Bits of the one-bit sketch, and standard deviations it may fall below its mean.
 BITS, SIGMAS = 128, 6.0
-#: Rows of a common prefix that one task compares; larger crowds are compared chunk by chunk.
+#: Rows of a common prefix that one task compares; larger neighbourhoods get longer prefixes, then pairs of chunks.
 CHUNK = 20_000
+#: Prefixes of large neighbourhoods that are broadcast (16 bytes each); more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def forest_shape(sets: int, threshold: float, recall: float) -> tuple[int, int]:
-    """(depth, trees): how many minhashes a common prefix has, and how many trees there are.
+def forest_shape(sets: int, threshold: float, recall: float) -> tuple[int, int, int]:
+    """(deepest, first, trees): longest prefix, trees of the first round, trees in all.
 
-    The depth grows with the logarithm of the number of sets, until the unrelated sets
-    that share a prefix by chance are about ``CROWD``; trees are added until a pair at
-    the threshold shares a prefix in one of them with probability ``recall``.
+    The longest prefix grows with the logarithm of the number of sets, until the unrelated
+    sets that share one by chance are about ``CROWD``. The first round has the trees that
+    reach ``recall`` at the threshold if no neighbourhood is crowded, all trees reach it if
+    every one is.
     """
-    depth = max(2, math.ceil(math.log(max(sets, 1) / CROWD, 1 / BACKGROUND))) if sets > CROWD else 2
-    return depth, max(math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)), math.ceil(BITS / depth))
+    deepest = max(SHORTEST + 1, math.ceil(math.log(max(sets, 1) / CROWD, 1 / BACKGROUND)))
+    needed = [math.ceil(math.log(1 - recall) / _log_miss(threshold, depth)) for depth in (SHORTEST, deepest)]
+    return deepest, needed[0], max(needed[1], math.ceil(BITS / deepest))
+
+
+def _log_miss(threshold: float, depth: int) -> float:
+    """Log of the probability that a pair at the threshold does not share a prefix of one tree."""
+    return math.log(max(1 - threshold**depth, 1e-300))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -47,158 +58,202 @@ def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
     return odd, rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Sorted input as blocks of whole groups of the first column, with the groups' starts.
+def _grouped(
+    batches: Iterator[pa.RecordBatch], rows: int = 1 << 16, whole: bool = True
+) -> Iterator[tuple[pa.Table, np.ndarray, bool]]:
+    """Sorted input as blocks: a table, where the groups of its first column start, if the last one goes on.
 
-    A group longer than ``rows`` still comes whole: the callers' rows are a few dozen
-    bytes each, and their layouts keep groups short.
+    A block has about ``rows`` rows. Groups come whole, or, if not ``whole``, those longer
+    than a block in pieces.
     """
+    filled = (b for b in batches if b.num_rows)
     held: list[pa.RecordBatch] = []
-    size = 0
-
-    def starts(table: pa.Table) -> np.ndarray:
-        key = table.column(0).combine_chunks()
-        differs = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
-        return np.concatenate(([0], np.flatnonzero(differs) + 1))
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    size, batch = 0, next(filled, None)
+    while batch is not None:
         held.append(batch)
         size += batch.num_rows
-        if size < rows or batch.column(0)[-1] == held[0].column(0)[0]:
+        batch = next(filled, None)
+        if batch is not None and size < rows:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
-        at = starts(table)
-        if at[-1]:
-            yield table.slice(0, int(at[-1])), at[:-1]
-        held = table.slice(int(at[-1])).to_batches()
-        size = sum(b.num_rows for b in held)
-    if held:
-        table = pa.Table.from_batches(held).combine_chunks()
-        yield table, starts(table)
+        key = table.column(0).combine_chunks()
+        differs = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+        starts = np.concatenate(([0], np.flatnonzero(differs) + 1))
+        goes_on = batch is not None and batch.column(0)[0] == key[size - 1]
+        if goes_on and len(starts) > 1:
+            yield table.slice(0, int(starts[-1])), starts[:-1], False
+            held = table.slice(int(starts[-1])).to_batches()
+            size = table.num_rows - int(starts[-1])
+        elif goes_on and whole:
+            rows = 2 * size
+            held = table.to_batches()
+        else:
+            yield table, starts, goes_on
+            held, size = [], 0
 
 
 def _minima(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """Minhash signatures, one row of ``n`` minima per group."""
     odd, add = _family(n)
-    out = np.empty((len(starts), n), np.uint32)
+    out = np.empty((len(starts), n), np.uint64)
     for k in range(n):
-        out[:, k] = np.minimum.reduceat(_mixed(hashes * odd[k] + add[k]) >> np.uint64(32), starts)
+        out[:, k] = np.minimum.reduceat(_mixed(hashes * odd[k] + add[k]), starts)
     return out
 
 
+Signatures = tuple[pa.Array, np.ndarray, list[np.ndarray], np.ndarray]
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[Signatures]:
+    """(keys, distinct members, two fingerprints, minima) of (key, h) rows sorted by both.
+
+    A key of any number of rows is streamed: what a block has of it is kept as one
+    partial signature.
+    """
+    held = None
+    for table, starts, goes_on in _grouped(batches, whole=False):
+        h = np.asarray(table.column("h")).view(np.uint64)
+        fresh = np.concatenate(([True], h[1:] != h[:-1]))
+        fresh[starts] = True
+        begin = np.concatenate(([0], np.cumsum(fresh)))[starts]
+        h = h[fresh]
+        new = np.ones(len(h), np.uint64)
+        if held is not None and h[0] == held[-1]:
+            new[0] = 0
+        sizes = np.add.reduceat(new, begin).astype(np.int64)
+        prints = [np.add.reduceat(_mixed(h ^ np.uint64(s)) * new, begin).view(np.int64) for s in (1, 2)]
+        least = _minima(h, begin, n)
+        if held is not None:
+            sizes[0] += held[0]
+            for total, part in zip(prints, held[1]):  # slices: numbers wrap around
+                total[:1] += part
+            least[0] = np.minimum(least[0], held[2])
+        end = len(starts)
+        held = None
+        if goes_on:
+            end -= 1
+            held = sizes[-1], [p[-1:].copy() for p in prints], least[-1].copy(), h[-1]
+        if end:
+            keys = table.column("key").combine_chunks().take(pa.array(starts[:end]))
+            yield keys, sizes[:end], [p[:end] for p in prints], least[:end]
+
+
+PARTIAL = "key string, size long, fp0 long, fp1 long, least array<long>"
+SKETCH = "key string, size long, fp0 long, fp1 long, bits0 long, bits1 long, minima binary"
+
+
 def _partial(n: int):
-    """(key, salt, h) rows sorted by key and salt -> one partial signature per part of a hot set."""
+    """(part, key, h) rows sorted by part and h -> one partial signature per part of a hot set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _grouped(batches):
-            h = np.asarray(table.column("h")).view(np.uint64)
-            sizes = np.diff(np.append(starts, table.num_rows))
-            least = _minima(h, starts, n)
-            prints = [np.add.reduceat(_mixed(h ^ np.uint64(s)), starts).view(np.int64) for s in (1, 2)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    table.column("key").combine_chunks().take(pa.array(starts)),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(prints[0]),
-                    pa.array(prints[1]),
-                    pa.array(list(least.view(np.int32)), pa.list_(pa.int32())),
-                ],
-                ["key", "size", "fp0", "fp1", "least"],
-            )
+        parts = (pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["key", "h"]) for b in batches)
+        for keys, sizes, prints, least in _signatures(parts, n):
+            names = pc.list_element(pc.split_pattern(keys, "\x00", max_splits=1), 1)
+            lists = pa.array(list(least.view(np.int64)), pa.list_(pa.int64()))
+            arrays = [names, pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), lists]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "size", "fp0", "fp1", "least"])
 
     return run
 
 
-PARTIAL = "key string, size long, fp0 long, fp1 long, least array<int>"
-SKETCH = "key string, size long, fp0 long, fp1 long, bits0 long, bits1 long, labels array<long>"
+def _finished(keys, sizes, prints, least: np.ndarray, least_size: int) -> pa.RecordBatch:
+    """Packed minima (two bytes each) and one-bit sketches of the sets that are large enough."""
+    kept = np.flatnonzero(sizes >= least_size)
+    least = least[kept]
+    bits = np.packbits(((least[:, :BITS] >> np.uint64(16)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+    width = 2 * least.shape[1]
+    offsets = pa.py_buffer(np.arange(len(kept) + 1, dtype=np.int32) * width)
+    packed = pa.py_buffer((least & np.uint64(0xFFFF)).astype("<u2").tobytes())
+    minima = pa.Array.from_buffers(pa.binary(), len(kept), [None, offsets, packed])
+    numbers = [pa.array(x[kept], pa.int64()) for x in (sizes, *prints)]
+    columns = [keys.take(pa.array(kept)), *numbers, pa.array(bits[:, 0]), pa.array(bits[:, 1]), minima]
+    return pa.RecordBatch.from_arrays(columns, ["key", "size", "fp0", "fp1", "bits0", "bits1", "minima"])
 
 
-def _finished(keys, sizes, prints, least: np.ndarray, depth: int, trees: int) -> pa.RecordBatch:
-    """Tree labels (hashes of the prefixes) and one-bit sketches from whole signatures."""
-    labels = np.zeros((len(least), trees), np.uint64)
-    for t in range(trees):
-        label = np.full(len(least), t + 1, np.uint64)
-        for d in range(depth):
-            label = _mixed(label * np.uint64(0x9E3779B97F4A7C15) + least[:, t * depth + d])
-        labels[:, t] = label
-    bits = np.packbits((least[:, :BITS] & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)
-    lists = pa.ListArray.from_arrays(
-        pa.array(np.arange(len(least) + 1, dtype=np.int32) * trees), pa.array(labels.view(np.int64).ravel())
-    )
-    columns = [keys, pa.array(sizes, pa.int64()), pa.array(prints[0]), pa.array(prints[1])]
-    return pa.RecordBatch.from_arrays(
-        [*columns, pa.array(bits[:, 0]), pa.array(bits[:, 1]), lists],
-        ["key", "size", "fp0", "fp1", "bits0", "bits1", "labels"],
-    )
-
-
-def _sketched(depth: int, trees: int, least_size: int):
+def _sketched(n: int, least_size: int):
     """(key, h) rows sorted by both -> sketches of the sets with enough distinct members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _grouped(batches):
-            h = np.asarray(table.column("h")).view(np.uint64)
-            fresh = np.concatenate(([True], h[1:] != h[:-1]))
-            fresh[starts] = True
-            keys = table.column("key").combine_chunks().take(pa.array(starts))
-            begin = np.concatenate(([0], np.cumsum(fresh)))[starts]
-            h = h[fresh]
-            sizes = np.diff(np.append(begin, len(h)))
-            kept = np.flatnonzero(sizes >= least_size)
-            if not len(kept):
-                continue
-            member = np.repeat(sizes >= least_size, sizes)
-            h, sizes = h[member], sizes[kept]
-            begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            prints = [np.add.reduceat(_mixed(h ^ np.uint64(s)), begin).view(np.int64) for s in (1, 2)]
-            least = _minima(h, begin, depth * trees)
-            yield _finished(keys.take(pa.array(kept)), sizes, prints, least, depth, trees)
+        for found in _signatures(batches, n):
+            yield _finished(*found, least_size)
 
     return run
 
 
-def _merged(depth: int, trees: int, least_size: int):
+def _merged(n: int, least_size: int):
     """Partial signatures of hot sets, sorted by key -> their sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _grouped(batches, 256):
+        for table, starts, _ in _grouped(batches, 256):
             lists = table.column("least").combine_chunks()
-            flat = np.asarray(lists.flatten()).view(np.uint32).reshape(-1, depth * trees)
+            flat = np.asarray(lists.flatten()).view(np.uint64).reshape(-1, n)
             least = np.minimum.reduceat(flat, starts, axis=0)
-            size, fp0, fp1 = (np.add.reduceat(np.asarray(table.column(c)), starts) for c in ("size", "fp0", "fp1"))
-            kept = np.flatnonzero(size >= least_size)
-            if len(kept):
-                keys = table.column("key").combine_chunks().take(pa.array(starts[kept]))
-                yield _finished(keys, size[kept], (fp0[kept], fp1[kept]), least[kept], depth, trees)
+            size, *prints = (np.add.reduceat(np.asarray(table.column(c)), starts) for c in ("size", "fp0", "fp1"))
+            keys = table.column("key").combine_chunks().take(pa.array(starts))
+            yield _finished(keys, size, prints, least, least_size)
 
     return run
 
 
-def _neighbours(threshold: float):
-    """(label, key, size, bits0, bits1, chunk, cross) rows sorted by label -> pairs within common prefixes.
+def _words(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Binary values of two-byte words as a matrix."""
+    packed = column.combine_chunks()
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    data = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return np.ascontiguousarray(data).view("<u2").reshape(-1, width)
+
 
-    Rows are compared with the next, the second next and so on, as long as the prefix is
-    the same: the work is the number of pairs, the memory that of the block. Sizes too
-    different and sketches too far apart for the threshold never leave the task. Where
-    ``cross`` is set, only rows of different chunks are compared.
+def neighbourhoods(label: np.ndarray, words: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, depth) of the neighbourhood of every row; rows are sorted by label and words.
+
+    A neighbourhood is a common prefix of ``floor`` words, one word longer as long as more
+    than ``CROWD`` rows share it, or of all words.
+    """
+    n, deepest = words.shape
+    place = np.arange(n)
+    first, depth = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    agrees = label[1:] == label[:-1]
+    for d in range(1, deepest + 1):
+        agrees = agrees & (words[1:, d - 1] == words[:-1, d - 1])
+        if d < SHORTEST:
+            continue
+        starts = np.flatnonzero(np.concatenate(([True], ~agrees)))
+        sizes = np.diff(np.append(starts, n))
+        few = np.repeat((sizes <= CROWD) | (d == deepest), sizes)
+        taken = few & (depth == 0) & (floor <= d)
+        first[taken] = np.repeat(starts, sizes)[place[taken]]
+        depth[taken] = d
+    return first, depth
+
+
+def _neighbours(threshold: float, deepest: int):
+    """Rows sorted by label and prefix -> near pairs (a, b), and (a, null, depth) where a prefix was not the shortest.
+
+    Rows are compared with the next, the second next and so on, as long as the
+    neighbourhood is the same: the work is the number of pairs, the memory that of the
+    block. Sizes too different and sketches too far apart for the threshold never leave
+    the task. Where ``cross`` is set, only rows of different chunks are compared.
     """
     mean = (1 + threshold) / 2
     most = int(BITS * (1 - mean) + SIGMAS * math.sqrt(BITS * mean * (1 - mean)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, _ in _grouped(batches):
+        for table, *_ in _grouped(batches):
             label, size = np.asarray(table.column("label")), np.asarray(table.column("size"))
+            first, depth = neighbourhoods(label, _words(table.column("prefix"), deepest), np.asarray(table.column("floor")))
             bits = [np.asarray(table.column(c)).view(np.uint64) for c in ("bits0", "bits1")]
             chunk = np.asarray(table.column("chunk"))
             cross = table.column("cross").to_numpy()
             keys = table.column("key").combine_chunks()
+            deep = np.flatnonzero((depth > SHORTEST) & ~cross)
+            if len(deep):
+                columns = [keys.take(pa.array(deep)), pa.nulls(len(deep), pa.string()), pa.array(depth[deep], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "depth"])
             active, step = np.arange(table.num_rows), 0
             while True:
                 step += 1
                 active = active[active + step < table.num_rows]
-                active = active[label[active] == label[active + step]]
+                active = active[first[active] == first[active + step]]
                 if not len(active):
                     break
                 i, j = active, active + step
@@ -208,29 +263,63 @@ def _neighbours(threshold: float):
                 far = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits)
                 i, j = i[far <= most], j[far <= most]
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(i)), keys.take(pa.array(j))], ["a", "b"])
+                    columns = [keys.take(pa.array(i)), keys.take(pa.array(j)), pa.nulls(len(i), pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, ["a", "b", "depth"])
 
     return run
 
 
-def _crowds_apart(labelled: DataFrame, crowds: dict[int, int]) -> DataFrame:
-    """Rows with a group to be compared in; prefixes of a large crowd become one group per pair of chunks.
+def _label(depth: int) -> Column:
+    """The prefix of ``depth`` minhashes of a tree as a number."""
+    return F.xxhash64("tree", F.substring("prefix", 1, 2 * depth))
+
 
-    A row of a crowd stands in one group for each chunk, so all pairs of the crowd are
-    compared, spread over as many tasks as there are pairs of chunks.
+def laid_out(rows: DataFrame, deepest: int) -> DataFrame:
+    """(tree, prefix, ...) rows with the label they are compared under, so that no label has many rows.
+
+    The label is the shortest prefix; where more than ``CHUNK`` rows share it, which is
+    counted exactly, the prefix is made longer. Rows that share the longest prefix in
+    larger numbers get a label for each pair of chunks they are in, so all their pairs are
+    compared, in as many tasks as there are pairs of chunks.
     """
-    plain = labelled.withColumns({"chunk": F.lit(0), "cross": F.lit(False)})
-    if not crowds:
-        return plain
-    chunks = F.lit(1)
-    for label, n in crowds.items():
-        chunks = F.when(F.col("label") == label, math.ceil(n / CHUNK)).otherwise(chunks)
-    few = labelled.where(F.col("label").isin(list(crowds))).withColumn("chunks", chunks)
-    few = few.withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
-    few = few.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    parts = []
+    rows = rows.withColumns({"chunk": F.lit(0), "cross": F.lit(False)})
+    for depth in range(SHORTEST, deepest + 1):
+        labelled = rows.withColumns({"label": _label(depth), "floor": F.lit(depth)})
+        large = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
+        large = durable(large)
+        n = large.count()
+        if not n:
+            return _together([*parts, labelled])
+        large = F.broadcast(large) if n <= BROADCAST_ROWS else large
+        parts.append(labelled.join(large, "label", "left_anti"))
+        rows = labelled.join(large, "label").drop("floor")
+        if depth < deepest:
+            rows = rows.drop("label", "n")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("key"), chunks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     pair = F.xxhash64("label", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    few = few.withColumns({"label": pair, "cross": F.col("chunk") != F.col("other")}).drop("chunks", "other")
-    return plain.where(~F.col("label").isin(list(crowds))).unionByName(few)
+    rows = rows.withColumns({"label": pair, "floor": F.lit(deepest), "cross": F.col("chunk") != F.col("other")})
+    return _together([*parts, rows.drop("other", "n")])
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _compared(classes: DataFrame, trees: Column, threshold: float, deepest: int) -> DataFrame:
+    """Near pairs and depths, as of ``_neighbours``, over the given trees (an array) of every class."""
+    width = 2 * deepest
+    rows = classes.select(F.col("class_key").alias("key"), "size", "bits0", "bits1", "minima", F.explode(trees).alias("tree"))
+    prefix = F.substring(F.col("minima"), F.col("tree") * width + 1, F.lit(width))
+    laid = laid_out(rows.withColumn("prefix", prefix).drop("minima"), deepest)
+    laid = laid.select("label", "prefix", "key", "size", "bits0", "bits1", "floor", "chunk", "cross")
+    laid = laid.repartition("label").sortWithinPartitions("label", "prefix")
+    return durable(laid.mapInArrow(_neighbours(threshold, deepest), "a string, b string, depth int"))
 
 
 def _at_least(part: Column, whole: Column, threshold: float) -> Column:
@@ -254,12 +343,16 @@ def similar_sets(
     class keys: ``class_a`` < ``class_b``, ``shared``, ``either``. Null or blank keys and
     members count nowhere, repeated rows once; an empty table gives two empty results.
 
-    Every set gets ``trees`` sorted labels of ``depth`` minhashes (``forest_shape``); sets
-    with a common prefix in a tree are compared by size and by a 128-bit sketch, which
+    Every tree of the forest orders the sets by a signature of ``deepest`` minhashes of
+    its own. Sets are compared with their neighbours in that order, those with a common
+    prefix: the shortest one (``SHORTEST``) unless more than ``CROWD`` sets share it, else
+    a longer one. A longer prefix finds a pair less surely; from the depths a set was
+    compared at follows its recall, and sets below ``recall`` are compared in as many more
+    trees as they need. Neighbours are compared by size and by a 128-bit sketch, which
     loses a pair at the threshold with a probability below 1e-8, and what remains is
-    verified exactly on the members themselves. No group is capped: a crowd behind one
-    prefix is compared chunk against chunk, in many tasks. A pair at the very
-    threshold is found with probability ``recall``, others more surely.
+    verified exactly on the members themselves. No neighbourhood is capped, however many
+    sets share the longest prefix (``laid_out``). A pair at the very threshold is found
+    with probability ``recall``, others more surely.
 
     A set is one streamed group of one task unless its key is hot: the signature of a hot
     set is the minimum of the signatures of its parts. Identical sets are one class before
@@ -267,32 +360,37 @@ def similar_sets(
     """
     rows = layout.clean_pairs(df, key, member)
     hashed = rows.select("key", F.xxhash64("member").alias("h"))
-    n = rows.agg(F.approx_count_distinct("key").alias("n")).first()["n"]
-    depth, trees = forest_shape(n, threshold, recall)
-    hot = list(layout.hot_sizes(rows))
+    seen = hot_counts(rows, ["key"], extra={"n": F.approx_count_distinct("key")})
+    deepest, first, trees = forest_shape(seen["n"], threshold, recall)
+    hot, minima = list(seen["key"]), deepest * trees
     plain = hashed.where(~F.col("key").isin(hot)) if hot else hashed
     plain = plain.repartition("key").sortWithinPartitions("key", "h")
-    sketches = plain.mapInArrow(_sketched(depth, trees, least_size), SKETCH)
+    sketches = plain.mapInArrow(_sketched(minima, least_size), SKETCH)
     if hot:
         parts = hashed.where(F.col("key").isin(hot)).distinct()
-        parts = parts.withColumn("salt", F.pmod(F.col("h"), F.lit(layout.SALTS)).cast("int"))
-        parts = parts.select(F.concat_ws("\x00", "salt", "key").alias("part"), "key", "h")
-        parts = parts.repartition("part").sortWithinPartitions("part")
-        parts = parts.mapInArrow(_partial(depth * trees), PARTIAL)
-        whole = parts.repartition("key").sortWithinPartitions("key")
-        sketches = sketches.unionByName(whole.mapInArrow(_merged(depth, trees, least_size), SKETCH))
+        salt = F.pmod(F.col("h"), F.lit(layout.SALTS)).cast("int")
+        parts = parts.select(F.concat_ws("\x00", salt, "key").alias("part"), "h")
+        parts = parts.repartition("part").sortWithinPartitions("part", "h")
+        whole = parts.mapInArrow(_partial(minima), PARTIAL).repartition("key").sortWithinPartitions("key")
+        sketches = sketches.unionByName(whole.mapInArrow(_merged(minima, least_size), SKETCH))
     sketches = durable(sketches)
     same = ["size", "fp0", "fp1"]
     classes = sketches.groupBy(*same).agg(
-        F.min("key").alias("class_key"), *[F.any_value(c).alias(c) for c in ("bits0", "bits1", "labels")]
-    )
-    labelled = classes.select(
-        F.explode("labels").alias("label"), F.col("class_key").alias("key"), "size", "bits0", "bits1"
+        F.min("key").alias("class_key"), *[F.any_value(c).alias(c) for c in ("bits0", "bits1", "minima")]
     )
-    crowds = hot_counts(sketches.select(F.explode("labels").alias("label")), ["label"])["label"]
-    labelled = _crowds_apart(labelled, {label: n for label, n in crowds.items() if n > CHUNK})
-    laid = labelled.repartition("label").sortWithinPartitions("label")
-    near = laid.mapInArrow(_neighbours(threshold), "a string, b string")
+    near = _compared(classes, F.sequence(F.lit(0), F.lit(first - 1)), threshold, deepest)
+    # the log of the probability that a pair of this set was missed, against the log of what may be missed
+    miss = [_log_miss(threshold, d) for d in range(1, deepest + 1)]
+    allowed = math.log(1 - recall)
+    lost = F.element_at(F.array(*[F.lit(m - miss[SHORTEST - 1]) for m in miss]), F.col("depth"))
+    short = near.where(F.col("b").isNull()).groupBy(F.col("a").alias("class_key"))
+    short = short.agg((F.sum(lost) + first * miss[SHORTEST - 1] - allowed).alias("over"))
+    more = F.ceil(F.col("over") / -miss[-1]).cast("int")
+    short = durable(short.where(F.col("over") > 1e-9).select("class_key", F.least(more, F.lit(trees - first)).alias("more")))
+    if not short.isEmpty():
+        again = _compared(classes.join(short, "class_key"), F.sequence(F.lit(first), F.col("more") + (first - 1)), threshold, deepest)
+        near = near.unionByName(again)
+    near = near.where(F.col("b").isNotNull())
     near = durable(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
     sets = rows.join(ends, "key", "left_semi").distinct()

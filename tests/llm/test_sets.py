@@ -122,23 +122,30 @@ def brute_similar(sets, threshold, least):
     }
 
 
-@pytest.mark.parametrize("chunk", [20_000, 3])
-def test_similar_keys(df, sets, chunk, monkeypatch):
+@pytest.mark.parametrize("chunk, crowd, block", [(20_000, 100, 1 << 16), (3, 100, 1 << 16), (3, 1, 1 << 16), (20_000, 1, 7)])
+def test_similar_keys(df, sets, chunk, crowd, block, monkeypatch):
     from graphloom.llm import similar_sets as module
 
     monkeypatch.setattr(module, "CHUNK", chunk)
+    monkeypatch.setattr(module, "CROWD", crowd)
+    monkeypatch.setattr(module._grouped, "__defaults__", (block, True))
     want = brute_similar(sets, 0.7, 4)
     assert {("X1", "X2"), ("X1", "X4"), ("X2", "X5"), ("X4", "X5")} <= want
     assert {tuple(r) for r in similar_keys(df).collect()} == want
-    pairs, members = similar_sets(df)
-    classes = {r.key: r for r in members.collect()}
-    assert set(classes) == {t for t, e in sets.items() if len(e) >= 4}
-    assert classes["X3"].class_key == "X1" and classes["X3"].links == 2
-    assert {(r.class_a, r.class_b): (r.shared, r.either) for r in pairs.collect()}["X1", "X4"] == (10, 12)
-    assert similar_keys(df.limit(0)).count() == 0
+    if block > 7:
+        pairs, members = similar_sets(df)
+        classes = {r.key: r for r in members.collect()}
+        assert set(classes) == {t for t, e in sets.items() if len(e) >= 4}
+        assert classes["X3"].class_key == "X1" and classes["X3"].links == 2
+        assert {(r.class_a, r.class_b): (r.shared, r.either) for r in pairs.collect()}["X1", "X4"] == (10, 12)
+        assert similar_keys(df.limit(0)).count() == 0
 
 
-def test_recall_of_many_planted_pairs(spark):
+@pytest.mark.parametrize("crowd", [100, 5])
+def test_recall_of_many_planted_pairs(spark, crowd, monkeypatch):
+    from graphloom.llm import similar_sets as module
+
+    monkeypatch.setattr(module, "CROWD", crowd)
     rng = random.Random(9)
     rows, planted = [], set()
     for i in range(400):
@@ -151,11 +158,85 @@ def test_recall_of_many_planted_pairs(spark):
     assert found == planted
 
 
+def test_recall_where_every_neighbourhood_is_crowded(spark, monkeypatch):
+    """Sets around a common core, so that short prefixes are shared by many that are not similar enough."""
+    from graphloom.llm import similar_sets as module
+
+    monkeypatch.setattr(module, "CROWD", 3)
+    rng = random.Random(10)
+    sets = {f"s{i:03}": set(range(12)) | {100 * i + k for k in range(8)} for i in range(1, 300)}
+    for i in range(1, 60):
+        sets[f"t{i:03}"] = set(sorted(sets[f"s{i:03}"])[:17]) | {10**6 + 10 * i + k for k in range(3)}  # 17 / 23
+    rows = [(k, f"e{x}") for k, v in sets.items() for x in v]
+    rng.shuffle(rows)
+    found = {tuple(r) for r in similar_keys(spark.createDataFrame(rows, "term string, element string")).collect()}
+    assert found == brute_similar(sets, 0.7, 4)
+
+
 def test_forest_shape_grows_with_the_table():
     shapes = [forest_shape(n, 0.7, 0.9999) for n in (0, 100, 10_000, 10_000_000)]
-    assert [d for d, _ in shapes] == [2, 2, 2, 5]
-    for depth, trees in shapes:
-        assert 1 - (1 - 0.7**depth) ** trees >= 0.9999 and depth * trees >= 128
+    assert [d for d, *_ in shapes] == [3, 3, 3, 5]
+    for deepest, first, trees in shapes:
+        assert 1 - (1 - 0.7**2) ** first >= 0.9999
+        assert 1 - (1 - 0.7**deepest) ** trees >= 0.9999 and deepest * trees >= 128
+
+
+def test_neighbourhoods_deepen_where_they_are_crowded(monkeypatch):
+    import numpy as np
+
+    from graphloom.llm import similar_sets as module
+
+    monkeypatch.setattr(module, "CROWD", 2)
+    words = np.array([[1, 1, 1], [1, 1, 1], [1, 1, 2], [1, 1, 3], [2, 2, 1], [2, 2, 2], [2, 2, 9]], np.uint16)
+    first, depth = module.neighbourhoods(np.array([5, 5, 5, 5, 7, 7, 8]), words, np.full(7, 2))
+    assert depth.tolist() == [3, 3, 3, 3, 2, 2, 2] and first.tolist() == [0, 0, 2, 3, 4, 4, 6]
+
+
+def test_a_crowd_is_laid_over_many_labels(spark, monkeypatch):
+    """A crowd far below 1/10,000 of the rows is split all the same."""
+    from pyspark.sql import functions as F
+
+    from graphloom.llm import similar_sets as module
+
+    monkeypatch.setattr(module, "CHUNK", 10)
+    rows = spark.range(60_000).select(F.lit(0).alias("tree"), F.col("id").cast("string").alias("key"))
+    prefix = F.when(F.col("key").cast("long") < 50, F.lit("same!!")).otherwise(F.lpad("key", 6, "0")).cast("binary")
+    laid = module.laid_out(rows.withColumn("prefix", prefix), 3).where("cast(key as long) < 50")
+    labels = laid.groupBy("label").count().collect()
+    assert len(labels) == 15 and max(r["count"] for r in labels) < 40
+    pairs = laid.alias("x").join(laid.alias("y"), "label").where("x.key < y.key and (not x.cross or x.chunk <> y.chunk)")
+    assert pairs.count() == pairs.select("x.key", "y.key").distinct().count() == 50 * 49 // 2
+
+
+def test_a_long_group_is_streamed_in_pieces():
+    import numpy as np
+    import pyarrow as pa
+
+    from graphloom.llm import similar_sets as module
+
+    rng = np.random.default_rng(3)
+    rows = sorted((f"k{int(k)}", int(h)) for k, h in zip(rng.integers(0, 5, 4000) ** 2 // 4, rng.integers(-99, 99, 4000)))
+
+    def signatures(size):
+        batches = (
+            pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part], pa.int64())], ["key", "h"])
+            for part in (rows[i : i + size] for i in range(0, len(rows), size))
+        )
+        out = {}
+        for keys, sizes, prints, least in module._signatures(batches, 5):
+            for i, k in enumerate(keys.to_pylist()):
+                assert k not in out
+                out[k] = (int(sizes[i]), int(prints[0][i]), int(prints[1][i]), least[i].tolist())
+        return out
+
+    whole = signatures(10**6)
+    assert {k: v[0] for k, v in whole.items()} == {k: len({h for x, h in rows if x == k}) for k, _ in rows}
+    defaults = module._grouped.__defaults__
+    try:
+        module._grouped.__defaults__ = (50, True)
+        assert signatures(20) == whole and signatures(1) == whole
+    finally:
+        module._grouped.__defaults__ = defaults
 
 
 def test_codes_are_unique(spark):
