@@ -23,7 +23,9 @@ SHORTEST = 2
 BITS, SIGMAS = 128, 6.0
 #: Rows of a common prefix that one task compares; larger neighbourhoods get longer prefixes, then pairs of chunks.
 CHUNK = 20_000
-#: Prefixes of large neighbourhoods that are broadcast (16 bytes each); more are joined by shuffle.
+#: Rows of a key, as estimated, that one task streams; keys with more are split.
+HOT_ROWS = 1 << 18
+#: Rows of one prefix or key each that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -362,22 +364,24 @@ def similar_sets(
     hashed = rows.select("key", F.xxhash64("member").alias("h"))
     seen = hot_counts(rows, ["key"], extra={"n": F.approx_count_distinct("key")})
     deepest, first, trees = forest_shape(seen["n"], threshold, recall)
-    hot, minima = list(seen["key"]), deepest * trees
-    plain = hashed.where(~F.col("key").isin(hot)) if hot else hashed
+    hot = [(k, 1 + n // HOT_ROWS) for k, n in seen["key"].items() if n > HOT_ROWS]
+    minima = deepest * trees
+    plain = hashed.where(~F.col("key").isin([k for k, _ in hot])) if hot else hashed
     plain = plain.repartition("key").sortWithinPartitions("key", "h")
     sketches = plain.mapInArrow(_sketched(minima, least_size), SKETCH)
     if hot:
-        parts = hashed.where(F.col("key").isin(hot)).distinct()
-        salt = F.pmod(F.col("h"), F.lit(layout.SALTS)).cast("int")
+        split = F.broadcast(df.sparkSession.createDataFrame(hot, "key string, parts int"))  # at most skew.MAX_HOT rows
+        parts = hashed.join(split, "key").distinct()
+        salt = F.pmod(F.col("h"), F.col("parts"))
         parts = parts.select(F.concat_ws("\x00", salt, "key").alias("part"), "h")
         parts = parts.repartition("part").sortWithinPartitions("part", "h")
         whole = parts.mapInArrow(_partial(minima), PARTIAL).repartition("key").sortWithinPartitions("key")
         sketches = sketches.unionByName(whole.mapInArrow(_merged(minima, least_size), SKETCH))
     sketches = durable(sketches)
     same = ["size", "fp0", "fp1"]
-    classes = sketches.groupBy(*same).agg(
-        F.min("key").alias("class_key"), *[F.any_value(c).alias(c) for c in ("bits0", "bits1", "minima")]
-    )
+    firsts = sketches.groupBy(*same).agg(F.min("key").alias("class_key"))
+    classes = sketches.join(firsts.select(F.col("class_key").alias("key")), "key", "left_semi")
+    classes = durable(classes.withColumnRenamed("key", "class_key"))
     near = _compared(classes, F.sequence(F.lit(0), F.lit(first - 1)), threshold, deepest)
     # the log of the probability that a pair of this set was missed, against the log of what may be missed
     miss = [_log_miss(threshold, d) for d in range(1, deepest + 1)]
@@ -393,6 +397,7 @@ def similar_sets(
     near = near.where(F.col("b").isNotNull())
     near = durable(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
+    ends = F.broadcast(ends) if 2 * near.count() <= BROADCAST_ROWS else ends
     sets = rows.join(ends, "key", "left_semi").distinct()
     sides = near.select("a", "b", F.explode(F.array("a", "b")).alias("key")).join(sets, "key")
     joint = sides.groupBy("a", "b", "member").agg(F.count(F.lit(1)).alias("sides"))
@@ -402,7 +407,7 @@ def similar_sets(
     pairs = pairs.where(_at_least(F.col("shared"), F.col("either"), threshold))
     links = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_key")).groupBy("class_key")
     links = links.agg(F.count(F.lit(1)).alias("links"))
-    membership = sketches.select("key", *same).join(classes.select(*same, "class_key"), same)
+    membership = sketches.select("key", *same).join(firsts, same)
     membership = membership.join(links, "class_key", "left")
     return pairs, membership.select("key", "class_key", "size", F.coalesce("links", F.lit(0)).alias("links"))
 

@@ -128,6 +128,8 @@ def test_similar_keys(df, sets, chunk, crowd, block, monkeypatch):
 
     monkeypatch.setattr(module, "CHUNK", chunk)
     monkeypatch.setattr(module, "CROWD", crowd)
+    monkeypatch.setattr(module, "HOT_ROWS", 100 * crowd)
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 10 * chunk)
     monkeypatch.setattr(module._grouped, "__defaults__", (block, True))
     want = brute_similar(sets, 0.7, 4)
     assert {("X1", "X2"), ("X1", "X4"), ("X2", "X5"), ("X4", "X5")} <= want
