@@ -1,4 +1,4 @@
-"""Overlap sizes between large sets: bitmaps by identifier range."""
+"""Overlap sizes between large sets: compressed bitmaps by identifier range."""
 
 from __future__ import annotations
 
@@ -7,64 +7,134 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import layout
+from graphloom.session import durable
 
-#: Identifiers of one range, as many as a bitmap of 4 KB has bits.
-RANGE = 1 << 15
-#: Non-zero pair counts held by a task before they are written out.
-HELD = 1 << 22
+#: Rows that an identifier range has on average, and from which on its pairs of sets are spread over tasks.
+RANGE, SPLIT = 1 << 17, 1 << 20
+#: Sets that may hold an identifier for it to be kept as a list of sets; others are bits of bitmaps.
+LISTED = 128
+#: Non-zero pair counts held by a task before they are written out, and pairs made at once.
+HELD, STEP = 1 << 22, 1 << 21
 
-
-def _range_counts(sets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(packed pair of set numbers, common identifiers) of the sets of one range."""
-    _, at, times = np.unique(ids, return_inverse=True, return_counts=True)
-    shared = times > 1  # an identifier of one set adds to no pair: squeezed out of the bitmaps
-    place = np.cumsum(shared) - 1
-    kept = shared[at]
-    if not kept.any():
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    names, row = np.unique(sets[kept], return_inverse=True)
-    bit = place[at[kept]]
-    words = np.zeros((len(names), int(bit.max()) // 64 + 1), np.uint64)
-    np.bitwise_or.at(words, (row, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
-    codes, counts = [], []
-    for i in range(len(names) - 1):
-        filled = np.flatnonzero(words[i])
-        common = np.bitwise_count(words[i + 1 :, filled] & words[i, filled]).sum(axis=1, dtype=np.int64)
-        met = np.flatnonzero(common)
-        codes.append((names[i] << 32) | names[i + 1 + met])
-        counts.append(common[met])
-    return np.concatenate(codes), np.concatenate(counts)
+Counts = tuple[np.ndarray, np.ndarray]
 
 
-def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    unique, at = np.unique(np.concatenate(codes), return_inverse=True)
-    return [unique], [np.bincount(at, weights=np.concatenate(counts), minlength=len(unique)).astype(np.int64)]
+def _run_lengths(codes: np.ndarray, counts: np.ndarray | None = None) -> Counts:
+    """Distinct codes, sorted, with how often they occur or the sum of their counts."""
+    if not len(codes):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    if counts is None:
+        codes = np.sort(codes)
+        first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+        return codes[first], np.diff(np.append(first, len(codes)))
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[first], np.add.reduceat(counts, first)
+
+
+def _merged(parts: list[Counts]) -> Counts:
+    return _run_lengths(*(np.concatenate(x) for x in zip(*parts))) if parts else _run_lengths(np.empty(0, np.int64))
+
+
+def _listed_pairs(row: np.ndarray, at: np.ndarray, part: np.ndarray | None) -> Iterator[Counts]:
+    """Pairs of rows that meet at an identifier, walked identifier by identifier; each has at most ``LISTED`` rows."""
+    order = np.lexsort((row, at))
+    row, at = row[order], at[order]
+    active, step, held, size = np.arange(len(at)), 0, [], 0
+    while True:
+        step += 1
+        active = active[active + step < len(at)]
+        active = active[at[active] == at[active + step]]
+        if not len(active):
+            break
+        i, j = row[active], row[active + step]
+        if part is not None:
+            apart = part[i] != part[j]
+            i, j = i[apart], j[apart]
+        held.append((i << 32) | j)
+        size += len(i)
+        if size >= STEP:
+            yield _run_lengths(np.concatenate(held))
+            held, size = [], 0
+    if held:
+        yield _run_lengths(np.concatenate(held))
+
+
+def _bitmap_pairs(row: np.ndarray, at: np.ndarray, part: np.ndarray | None) -> Iterator[Counts]:
+    """Common bits of all rows with a bit among the identifiers that many rows hold."""
+    rows, place = np.unique(row, return_inverse=True)
+    _, bit = np.unique(at, return_inverse=True)
+    words = np.zeros((len(rows), int(bit.max()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(words, (place, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+    block = max(1, STEP // len(rows))
+    for lo in range(0, len(rows), block):
+        hi = min(lo + block, len(rows))
+        common = np.zeros((hi - lo, len(rows) - lo), np.int32)
+        for w in range(words.shape[1]):
+            common += np.bitwise_count(words[lo:hi, w, None] & words[None, lo:, w])
+        i, j = np.nonzero(common)
+        count = common[i, j].astype(np.int64)
+        kept = j > i
+        if part is not None:
+            kept &= part[rows[lo + i]] != part[rows[lo + j]]
+        i, j, count = i[kept], j[kept], count[kept]
+        yield (rows[lo + i] << 32) | rows[lo + j], count
+
+
+def range_counts(sets: np.ndarray, ids: np.ndarray, part: np.ndarray | None = None) -> Counts:
+    """(packed pair of set numbers, common identifiers) of the sets of one range.
+
+    Identifiers of one set add to no pair and are left out. Those that few sets hold are
+    lists of sets, walked for the pairs that meet there; those of many sets are the bits
+    of bitmaps, one row per set, intersected and counted row by row. Memory is in
+    proportion to the rows, and only sets that meet are paired. With ``part`` (per row),
+    only sets of different parts are.
+    """
+    _, at, times = np.unique(ids, return_inverse=True, return_counts=True)
+    shared = times[at] > 1
+    names, row = np.unique(sets[shared], return_inverse=True)
+    at = at[shared]
+    parts = None
+    if part is not None:
+        parts = np.zeros(len(names), np.int64)
+        parts[row] = part[shared]
+    few = times[at] <= LISTED
+    found: list[Counts] = []
+    for how, kept in ((_listed_pairs, few), (_bitmap_pairs, ~few)):
+        if not kept.any():
+            continue
+        for counts in how(row[kept], at[kept], parts):
+            found.append(counts)
+            if sum(len(c) for c, _ in found) > HELD:
+                found = [_merged(found)]
+    code, count = _merged(found)
+    return (names[code >> 32] << 32) | names[code & 0xFFFFFFFF], count
 
 
 def _count_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pair counts of (range, set, identifier) rows that come range by range, summed within the task."""
-    codes, counts, size = [], [], 0
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Pair counts of (range, set, identifier, part) rows that come range by range, summed within the task."""
+    done: list[Counts] = []
+    held: list[tuple[np.ndarray, ...]] = []
     current = None
 
     def close() -> None:
-        nonlocal size
         if held:
-            code, count = _range_counts(*(np.concatenate(x) for x in zip(*held)))
-            codes.append(code)
-            counts.append(count)
-            size += len(code)
+            sets, ids, part = (np.concatenate(x) for x in zip(*held))
+            done.append(range_counts(sets, ids, None if part[0] < 0 else part))
             held.clear()
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(codes[0]), pa.array(counts[0])], ["code", "n"])
+    def out(codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(codes), 1 << 20):
+            part = slice(at, at + (1 << 20))
+            yield pa.RecordBatch.from_arrays([pa.array(codes[part]), pa.array(counts[part])], ["code", "n"])
 
     for batch in batches:
-        ranges, sets, ids = (np.asarray(c.to_numpy(zero_copy_only=False), dtype=np.int64) for c in batch.columns)
+        ranges, sets, ids, part = (np.asarray(c.to_numpy(zero_copy_only=False), dtype=np.int64) for c in batch.columns)
         edges = np.flatnonzero(np.diff(ranges)) + 1
         for lo, hi in zip(np.concatenate(([0], edges)), np.concatenate((edges, [len(ranges)]))):
             if lo == hi:
@@ -72,41 +142,62 @@ def _count_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if ranges[lo] != current:
                 close()
                 current = ranges[lo]
-                if size > HELD:
-                    codes, counts = _summed(codes, counts)
-                    size = len(codes[0])
-                    if size > HELD // 2:
-                        yield out()
-                        codes, counts, size = [], [], 0
-            held.append((sets[lo:hi], ids[lo:hi]))
+                if sum(len(c) for c, _ in done) > HELD:
+                    done = [_merged(done)]
+                    if len(done[0][0]) > HELD // 2:
+                        yield from out(*done.pop())
+            held.append((sets[lo:hi], ids[lo:hi], part[lo:hi]))
     close()
-    if codes:
-        codes, counts = _summed(codes, counts)
-        yield out()
+    yield from out(*_merged(done))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """(range, code, h) with ``part``: -1, or the part of the set where the pairs of a large range are spread.
+
+    The rows of every range are counted exactly. The sets of a large one, such as the
+    range of an identifier that millions of sets hold, fall into parts, and each pair of
+    parts is a range of its own.
+    """
+    large = rows.groupBy("range").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT)
+    large = durable(large)  # at most one in SPLIT / RANGE of the ranges
+    whole = rows.withColumn("part", F.lit(-1))
+    if large.isEmpty():
+        return whole
+    parts = F.ceil(F.col("n") / (SPLIT // 2)).cast("int")
+    split = rows.join(large, "range").withColumn("part", F.pmod(F.xxhash64("code"), parts).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    pair = [F.least("part", "other"), F.greatest("part", "other")]
+    # the pairs within a part are those of a range without parts
+    split = split.select(
+        F.xxhash64("range", *pair).alias("range"), "code", "h", F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).alias("part")
+    )
+    return whole.join(large, "range", "left_anti").select("range", "code", "h", "part").unionByName(split)
 
 
 def set_overlaps(df: DataFrame, key: str = "term", member: str = "element", least: int = 100) -> DataFrame:
     """Common members of every two sets with at least ``least`` distinct members that share any.
 
-    Columns: ``set_a`` < ``set_b``, ``n_a``, ``n_b`` (their sizes), ``shared``. The counts
-    are exact. Null or blank keys and members count nowhere, repeated rows once; without
-    two large sets the result is empty; other columns are not read.
-
-    Members become numbers: a hash range of about ``RANGE`` members each, and the rank
-    within the range. Each range is one small bitmap per set, intersected pairwise; a task
-    sums the counts of its ranges, and one map-side-combined shuffle sums them over all
-    ranges. No set is ever held whole, and a hot set is spread over all ranges.
+    Columns: ``set_a`` < ``set_b``, ``n_a``, ``n_b`` (their sizes), ``shared``. Null or
+    blank keys and members count nowhere, repeated rows once; without two large sets the
+    result is empty; other columns are not read. Sizes are exact. Members are encoded as
+    64-bit hashes: ``shared`` is exact unless two members of a pair of sets have one hash,
+    which adds one to it (for two sets of a billion members with a probability of 5 %).
+
+    The identifiers fall into ranges of about ``RANGE`` rows. Each range is a set of
+    compressed bitmaps, intersected pairwise (``range_counts``); a task sums the counts of
+    its ranges, and one map-side-combined shuffle sums them over all ranges. No set is
+    ever held whole, a hot set is spread over all ranges, and the pairs of a range with
+    many sets are spread over tasks.
     """
-    rows = layout.clean_pairs(df, key, member)
-    members = rows.agg(F.approx_count_distinct("member").alias("m")).first()["m"]
-    ranges = max(1, math.ceil(members / RANGE))
-    pairs = layout.distinct_pairs(rows).select("key", "member")
+    pairs = layout.distinct_pairs(layout.clean_pairs(df, key, member)).select("key", "member")
     sizes = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
-    sizes = layout.with_codes(sizes, "key", "code")
-    large = pairs.join(sizes.select("key", "code"), "key").select("code", "member")
-    large = large.withColumn("range", F.pmod(F.xxhash64("member"), F.lit(ranges)).cast("int"))
-    number = F.dense_rank().over(Window.partitionBy("range").orderBy("member"))
-    laid = large.repartition(min(ranges, 100_000), "range").select("range", "code", number.alias("id"))
+    sizes = durable(layout.with_codes(sizes, "key", "code"))
+    total = sizes.agg(F.sum("size").alias("n")).first()["n"] or 0
+    ranges = max(1, math.ceil(total / RANGE))
+    hashed = pairs.join(sizes.select("key", "code"), "key").select("code", F.xxhash64("member").alias("h"))
+    rows = durable(hashed.select(F.pmod(F.shiftright("h", 20), F.lit(ranges)).alias("range"), "code", "h"))
+    laid = _spread(rows).select("range", "code", "h", "part")
+    laid = laid.repartition(min(ranges, 100_000), "range").sortWithinPartitions("range")
     counts = laid.mapInArrow(_count_ranges, "code long, n long").groupBy("code").agg(F.sum("n").alias("shared"))
     counts = counts.select(
         F.shiftright("code", 32).cast("int").alias("code_a"),

@@ -97,11 +97,12 @@ def test_packed_codes_over_small_runs(df, sets, monkeypatch):
     assert first == sorted(map(tuple, cooccurring_items(df, most_items=60, least_together=2).collect()))
 
 
-@pytest.mark.parametrize("size", [1 << 15, 16])
-def test_overlaps(df, sets, size, monkeypatch):
+@pytest.mark.parametrize("size, split, listed", [(1 << 17, 1 << 20, 128), (50, 1 << 20, 4), (50, 40, 2), (400, 40, 128)])
+def test_overlaps(df, sets, size, split, listed, monkeypatch):
     from graphloom.llm import set_overlap
 
-    monkeypatch.setattr(set_overlap, "RANGE", size)
+    for name, value in (("RANGE", size), ("SPLIT", split), ("LISTED", listed)):
+        monkeypatch.setattr(set_overlap, name, value)
     large = {t: e for t, e in sets.items() if len(e) >= 10}
     want = {
         (a, b): (len(large[a]), len(large[b]), len(large[a] & large[b]))
@@ -113,6 +114,43 @@ def test_overlaps(df, sets, size, monkeypatch):
     assert set_overlaps(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_range_counts(monkeypatch, parts):
+    import numpy as np
+
+    from graphloom.llm import set_overlap
+
+    rng = np.random.default_rng(5)
+    for _ in range(10):
+        for name in ("LISTED", "STEP", "HELD"):
+            monkeypatch.setattr(set_overlap, name, int(rng.integers(1, 200)))
+        codes = np.unique(rng.integers(0, 60, 800) << 32 | (rng.random(800) ** 3 * 90).astype(np.int64))
+        numbers, ids = codes >> 32, codes & 0xFFFFFFFF
+        held = defaultdict(set)
+        for s, e in zip(numbers.tolist(), ids.tolist()):
+            held[s].add(e)
+        want = {
+            (a << 32) | b: len(held[a] & held[b])
+            for a, b in itertools.combinations(sorted(held), 2)
+            if held[a] & held[b] and (parts == 1 or a % parts != b % parts)
+        }
+        code, count = set_overlap.range_counts(numbers, ids, numbers % parts if parts > 1 else None)
+        assert dict(zip(code.tolist(), count.tolist())) == want
+
+
+def test_a_range_of_many_small_sets_is_not_compared_set_by_set():
+    import time
+
+    import numpy as np
+
+    from graphloom.llm import set_overlap
+
+    codes = np.unique(np.repeat(np.arange(8000), 100) << 32 | np.random.default_rng(1).integers(0, 1 << 15, 800_000))
+    began = time.perf_counter()
+    code, count = set_overlap.range_counts(codes >> 32, codes & 0xFFFFFFFF)
+    assert time.perf_counter() - began < 30 and len(code) > 8_000_000 and count.sum() > len(code)
+
+
 def brute_similar(sets, threshold, least):
     kept = {t: e for t, e in sets.items() if len(e) >= least}
     return {
