@@ -14,4 +14,6 @@ WHITE_SPACE = (
 
 def filled(column: Column) -> Column:
     """True where the string is neither null nor made of white space alone."""
-    return column.isNotNull() & (F.btrim(column, F.lit(WHITE_SPACE)) != "")
+    # most strings begin with a printable ASCII character; only others are looked through
+    printable = (column >= "!") & (column < "\x7f")
+    return column.isNotNull() & (printable | (F.btrim(column, F.lit(WHITE_SPACE)) != ""))
