@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import sys
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import WHITE_SPACE, filled
-from graphloom.operators.skew import hot_values
+from graphloom.session import durable
+
+#: Rows of a group that are joined to it by broadcast, as a share of all rows and at least.
+HOT_SHARE, HOT_ROWS = 1 / 10_000, 100_000
+
+
+@functools.cache
+def marks() -> str:
+    """All characters with a punctuation, separator, control or format category."""
+    kinds = ("P", "Z", "Cc", "Cf")
+    points = (chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    return "".join(c for c in points if unicodedata.category(c).startswith(kinds))
 
 
 def bare(column: Column) -> Column:
     """The text in lower case without white space, control, format and punctuation characters of any script."""
-    marks = r"[\p{P}\p{Z}\p{Cc}\p{Cf}" + "".join(c for c in WHITE_SPACE if ord(c) > 127) + "]+"
-    return F.lower(F.regexp_replace(column, marks, ""))
+    return F.lower(F.translate(column, marks(), ""))
 
 
 def _fingerprint(fields: list[Column], seed: int) -> Column:
@@ -27,6 +40,32 @@ def _fingerprint(fields: list[Column], seed: int) -> Column:
     return total
 
 
+GROUP = ["fp", "lo", "hi"]
+
+
+def _rows(df: DataFrame, key: str, ends: tuple[str, str]) -> DataFrame:
+    """(key, fp, lo, hi): the normalised ends, smaller first, and the fingerprint of every row that has both."""
+    # a generator of one row: the texts are rewritten once per row, not again in every filter on the result
+    ends_bare = F.struct(*[bare(F.col(c)).alias(n) for c, n in zip(ends, "vw")])
+    rows = df.select(F.col(key).alias("key"), F.inline(F.array(ends_bare)))
+    rows = rows.where((F.col("v") != "") & (F.col("w") != ""))
+    fp = _fingerprint([F.col("v"), F.col("w")], 0).alias("fp")
+    return rows.select("key", fp, F.least("v", "w").alias("lo"), F.greatest("v", "w").alias("hi"))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """(fp, lo, hi, first_key, copies): one row per fingerprint and, since chance may bring others together, fields."""
+    return rows.groupBy(*GROUP).agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("copies"))
+
+
+def distinct_edges(df: DataFrame, key: str = "edge_id", ends: tuple[str, str] = ("vertex1", "vertex2")) -> DataFrame:
+    """(key, copies): one row per edge, the smallest key of its rows, with their number.
+
+    Rows and copies are those of ``edge_copies``; one map-side-combined hash aggregate.
+    """
+    return _groups(_rows(df, key, ends)).select(F.col("first_key").alias("key"), "copies")
+
+
 def edge_copies(df: DataFrame, key: str = "edge_id", ends: tuple[str, str] = ("vertex1", "vertex2")) -> DataFrame:
     """Every row with the first row of its group of copies and the size of that group.
 
@@ -36,39 +75,20 @@ def edge_copies(df: DataFrame, key: str = "edge_id", ends: tuple[str, str] = ("v
     blank end, or one of punctuation alone, are left out; equal keys in repeated rows are
     rows of their own. An empty table gives no rows; other columns are not read.
 
-    Rows are grouped by an order-free fingerprint and then compared with the first row
-    of the group, field by field; rows that share a fingerprint by chance are grouped by
-    their exact values instead. Groups that may hold a large part of all rows are reduced
-    on the map side to their first row, and that bounded table is broadcast to their
-    rows; all others meet in one shuffle.
+    Rows are grouped by an order-free fingerprint, and their fields compared, in one hash
+    aggregate that is combined on the map side, so a group of any size reaches its task as
+    a few rows. Groups with copies are then joined back to their rows by hash, those that
+    hold a large part of all rows (at most 1 / ``HOT_SHARE``) as a broadcast table.
     """
-    raw = [F.col(c) for c in ends]
-    rows = df.where(filled(raw[0]) & filled(raw[1]))
-    # a generator of one row: the patterns run once per row, not again in every filter on their result
-    ends_bare = F.struct(bare(raw[0]).alias("v"), bare(raw[1]).alias("w"))
-    rows = rows.select(F.col(key).alias("key"), F.inline(F.array(ends_bare)))
-    rows = rows.where((F.col("v") != "") & (F.col("w") != ""))
-    rows = rows.withColumn("fp", _fingerprint([F.col("v"), F.col("w")], 0))
-    hot = hot_values(rows, ["fp"])["fp"]
-    same = ((F.col("v") == F.col("first.v")) & (F.col("w") == F.col("first.w"))) | (
-        (F.col("v") == F.col("first.w")) & (F.col("w") == F.col("first.v"))
-    )
-    member = F.struct("key", "v", "w")
-    light = rows.where(~F.col("fp").isin(hot)) if hot else rows
-    group = Window.partitionBy("fp")
-    light = light.withColumn("first", F.min(member).over(group)).withColumn("__same", same)
-    # null ends for matching rows: their group is then the fingerprint's
-    odd = [F.when(~F.col("__same"), f(F.col("v"), F.col("w"))) for f in (F.least, F.greatest)]
-    exact = Window.partitionBy("fp", *odd)
-    found = light.select(
-        F.min("key").over(exact).alias("first_key"), "key", F.count(F.lit(1)).over(exact).alias("copies")
-    )
-    if not hot:
-        return found
-    # within a hot fingerprint, the exact ends tell chance neighbours apart
-    crowd = rows.where(F.col("fp").isin(hot))
-    ends_of = [F.least("v", "w").alias("lo"), F.greatest("v", "w").alias("hi")]
-    crowd = crowd.select("fp", *ends_of, "key")
-    firsts = crowd.groupBy("fp", "lo", "hi").agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("copies"))
-    crowd = crowd.join(F.broadcast(firsts), ["fp", "lo", "hi"]).select("first_key", "key", "copies")
-    return found.unionByName(crowd)
+    rows = _rows(df, key, ends)
+    groups = durable(_groups(rows).where(F.col("copies") > 1))
+    total = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    limit = max(HOT_ROWS, total * HOT_SHARE)
+    large, small = groups.where(F.col("copies") >= limit), groups.where(F.col("copies") < limit)
+    columns = [F.coalesce("first_key", "key").alias("first_key"), "key", F.coalesce("copies", F.lit(1)).alias("copies")]
+    if large.isEmpty():
+        return rows.join(small.hint("shuffle_hash"), GROUP, "left").select(*columns)
+    large = F.broadcast(large)
+    crowd = rows.join(large, GROUP).select(*columns)
+    others = rows.join(large, GROUP, "left_anti")
+    return others.join(small.hint("shuffle_hash"), GROUP, "left").select(*columns).unionByName(crowd)

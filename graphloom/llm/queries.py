@@ -58,9 +58,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_edges(spark: SparkSession, folder: str) -> DataFrame:
     """One row per edge, with its number of copies."""
-    copies = format_duplicates.edge_copies(table(spark, folder, "edge_list", "edge_id", "vertex1", "vertex2"))
-    firsts = copies.where(F.col("key") == F.col("first_key"))
-    return firsts.select(F.col("key").alias("edge_id"), "copies")
+    edges = format_duplicates.distinct_edges(table(spark, folder, "edge_list", "edge_id", "vertex1", "vertex2"))
+    return edges.select(F.col("key").alias("edge_id"), "copies")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

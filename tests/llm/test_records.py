@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from graphloom.llm import lookalikes, tokenizer
-from graphloom.llm.format_duplicates import edge_copies
+from graphloom.llm.format_duplicates import distinct_edges, edge_copies
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -18,12 +18,13 @@ def bare(v):
     return "".join(c for c in v if unicodedata.category(c)[0] not in "PZC" and not c.isspace()).lower()
 
 
-@pytest.mark.parametrize("constant_hash", [False, True])
-def test_edge_copies(spark, monkeypatch, constant_hash):
+@pytest.mark.parametrize("constant_hash, hot", [(False, 100_000), (True, 100_000), (False, 100)])
+def test_edge_copies(spark, monkeypatch, constant_hash, hot):
     from pyspark.sql import functions as F
 
     from graphloom.llm import format_duplicates
 
+    monkeypatch.setattr(format_duplicates, "HOT_ROWS", hot)
     if constant_hash:  # every row shares its fingerprint with strangers: the exact ends must decide
         def weak(fields, seed):
             return F.length(fields[0]).cast("long") + F.length(fields[1])
@@ -46,8 +47,9 @@ def test_edge_copies(spark, monkeypatch, constant_hash):
             groups[tuple(sorted((bare(v), bare(w))))].append(i)
     want = {(g[0], i, len(g)) for g in groups.values() for i in g}
     df = spark.createDataFrame(rows, "edge_id long, vertex1 string, vertex2 string, fp string, key int").repartition(4)
-    assert {tuple(r) for r in edge_copies(df).collect()} == want
-    assert edge_copies(df.limit(0)).count() == 0
+    assert sorted(tuple(r) for r in edge_copies(df).collect()) == sorted(want)
+    assert {tuple(r) for r in distinct_edges(df).collect()} == {(f, n) for f, _, n in want}
+    assert edge_copies(df.limit(0)).count() == 0 and distinct_edges(df.limit(0)).count() == 0
 
 
 TEXTS = [
