@@ -33,18 +33,20 @@ def truncated_tail(z: np.ndarray, m: np.ndarray, lam: np.ndarray) -> np.ndarray:
     down = _series(z[todo], np.zeros(len(todo)), lam[todo], -1) - 1
     with np.errstate(over="ignore", invalid="ignore"):
         out[todo] = np.where(np.isinf(up), 1.0, 1 / (1 + down / up))
-    for i, u, d in zip(todo, up, down):
-        if lam[i] > m[i] and lam[i] > 700 and math.isfinite(u + d):
-            head = z[i] * math.log(lam[i]) - lam[i] - math.lgamma(z[i] + 1) + math.log(u + d)
-            if head < UNDERFLOW:
-                out[i] = 1.0
+    # where the bound lies far below the rate, P(X <= m) may be 0 in double precision
+    low = (lam[todo] > 700) & (lam[todo] > m[todo]) & np.isfinite(up + down)
+    out[todo[low][_log_term(z[todo[low]], lam[todo[low]]) + np.log((up + down)[low]) < UNDERFLOW]] = 1.0
     below = np.flatnonzero(ok & (lam > 700) & (lam > m) & (z > m))
-    for i in below:  # z = m + 1 and beyond: the same guard comes first
-        if m[i] * math.log(lam[i]) - lam[i] - math.lgamma(m[i] + 1) + math.log(m[i] + 1) < UNDERFLOW:
-            out[i] = 1.0
+    # z = m + 1 and beyond: the same guard comes first
+    out[below[_log_term(m[below], lam[below]) + np.log(m[below] + 1) < UNDERFLOW]] = 1.0
     return out
 
 
+def _log_term(z: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """The log of the Poisson probability of each z."""
+    return z * np.log(lam) - lam - np.fromiter(map(math.lgamma, z + 1), float, len(z))
+
+
 def _series(z: np.ndarray, end: np.ndarray, lam: np.ndarray, step: int) -> np.ndarray:
     """Sum of Poisson terms from z to ``end``, upward or downward, relative to the term at z."""
     total, term, at = np.ones(len(z)), np.ones(len(z)), z.copy()
@@ -68,7 +70,7 @@ def p_value(z: Column, m: Column, lam: Column) -> Column:
     @F.pandas_udf("double")
     def tail(z: pd.Series, m: pd.Series, lam: pd.Series) -> pd.Series:
         found = truncated_tail(z.to_numpy(float), m.to_numpy(float), lam.to_numpy(float))
-        return pd.Series(found).astype(object).where(~np.isnan(found), None)
+        return pd.Series(pd.arrays.FloatingArray(np.nan_to_num(found), np.isnan(found)))
 
     return tail(z.cast("double"), m.cast("double"), lam.cast("double"))
 

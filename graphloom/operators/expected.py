@@ -2,12 +2,15 @@
 
 An edge between degrees k and l has probability min(1, kl/2M). Sums over vertex pairs
 are sums over pairs of distinct degrees: the number of pairs with kl > 2M plus the
-exact integer sum of the other products, divided by 2M once.
+exact integer sum of the other products, divided by 2M once. For each degree k, the
+other degrees are cut at 2M/k, and running sums over the sorted degrees give both parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import poisson
@@ -20,6 +23,11 @@ def _exact(column: Column) -> Column:
     return column.cast("decimal(38,0)")
 
 
+def _product(a: Column, b: Column) -> Column:
+    """An exact integer product: whole up to 38 digits."""
+    return _exact(a.cast("decimal(19,0)") * b.cast("decimal(19,0)"))
+
+
 def _capped_sum(k: Column, other: Column, pairs: Column, two_m: Column) -> Column:
     """Sum of pairs * min(1, k * other / 2M) in exact integers until the last division."""
     product = k * other
@@ -28,6 +36,42 @@ def _capped_sum(k: Column, other: Column, pairs: Column, two_m: Column) -> Colum
     return sure + F.coalesce(F.try_divide(rest.cast("double"), two_m.cast("double")), F.lit(0.0))
 
 
+def _levels_upto(asked: DataFrame, levels: DataFrame) -> DataFrame:
+    """(set_id, k, n, upto, count, total, all): for every asked (set_id, k, n, upto), what the levels up to ``upto`` add up to.
+
+    ``levels`` is (set_id, l, o); ``count`` is the sum of o and ``total`` that of l * o over
+    the levels l <= upto of the set, ``all`` the sum of o over all its levels. Both tables
+    are merged by one sort per set, and running sums are read off at the asked places: D
+    log D for D distinct degrees, where a join would make D² rows.
+    """
+    none = F.lit(None).cast("long")
+    both = levels.select("set_id", F.col("l").alias("upto"), F.lit(0).alias("kind"), none.alias("k"), none.alias("n"), "l", "o")
+    both = both.unionByName(
+        asked.select("set_id", "upto", F.lit(1).alias("kind"), "k", "n", none.alias("l"), none.alias("o"))
+    )
+    whole = Window.partitionBy("set_id")
+    running = whole.orderBy("upto", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0).cast("decimal(38,0)")
+    found = both.select(
+        "set_id",
+        "kind",
+        "k",
+        "n",
+        "upto",
+        F.coalesce(F.sum("o").over(running), F.lit(0)).alias("count"),
+        F.coalesce(F.sum(_exact(F.col("l") * F.col("o"))).over(running), zero).alias("total"),
+        F.coalesce(F.sum("o").over(whole), F.lit(0)).alias("all"),
+    )
+    return found.where("kind = 1").drop("kind")
+
+
+def _capped(sure: Column, rest: Column, two_m: Column) -> Column:
+    """Pairs with probability 1, plus the exact sum of the other products divided by 2M once."""
+    return F.coalesce(sure, F.lit(0)).cast("double") + F.coalesce(
+        F.try_divide(rest.cast("double"), two_m.cast("double")), F.lit(0.0)
+    )
+
+
 def lambda_between(graph: Graph, sets1: DataFrame, sets2: DataFrame, method: str = "optimized") -> DataFrame:
     """(set_id, lambda): expected edges between the disjoint parts of each pair of sets.
 
@@ -42,16 +86,20 @@ def lambda_between(graph: Graph, sets1: DataFrame, sets2: DataFrame, method: str
         found = sums[0].join(sums[1], "set_id")
         product = F.col("k0").cast("double") * F.col("k1")
         found = found.select("set_id", F.try_divide(product, two_m).alias("lambda"))
-    elif method in ("optimized", "accurate"):
-        one, two = (graph.histogram(s) for s in sides) if method == "optimized" else (s.withColumnRenamed("times", "n") for s in sides)
-        pairs = one.select("set_id", "k", "n").join(
-            two.select("set_id", F.col("k").alias("l"), F.col("n").alias("o")), "set_id"
+    elif method == "optimized":
+        one, two = (graph.histogram(s) for s in sides)
+        asked = one.withColumn("m2", two_m).select("set_id", "k", "n", F.expr("m2 div greatest(k, 1)").alias("upto"))
+        sums = _levels_upto(asked, two.select("set_id", F.col("k").alias("l"), F.col("n").alias("o")))
+        found = sums.groupBy("set_id").agg(
+            F.sum(F.col("n") * (F.col("all") - F.col("count"))).alias("sure"),
+            F.sum(_product(F.col("n") * F.col("k"), F.col("total"))).alias("rest"),
         )
-        if method == "optimized":
-            total = _capped_sum(F.col("k"), F.col("l"), F.col("n") * F.col("o"), F.col("m2"))
-        else:
-            total = F.sum(F.least(F.lit(1.0), F.col("k") * F.col("l") / F.col("m2")))
-        found = pairs.withColumn("m2", two_m).groupBy("set_id", "m2").agg(total.alias("lambda")).drop("m2")
+        found = found.select("set_id", _capped(F.col("sure"), F.col("rest"), two_m).alias("lambda"))
+    elif method == "accurate":
+        one, two = sides
+        pairs = one.select("set_id", "k").join(two.select("set_id", F.col("k").alias("l")), "set_id").withColumn("m2", two_m)
+        total = F.sum(F.least(F.lit(1.0), F.col("k") * F.col("l") / F.col("m2")))
+        found = pairs.groupBy("set_id").agg(total.alias("lambda"))
     else:
         raise ValueError(f"method is one of {METHODS}, not {method!r}")
     return _per_set(sets1.select("set_id").union(sets2.select("set_id")), found, **{"lambda": 0.0})
@@ -73,11 +121,15 @@ def lambda_within(graph: Graph, sets: DataFrame, method: str = "optimized", dedu
         value = F.try_divide(_exact(F.col("s") * F.col("s") - F.col("q")).cast("double"), 2 * two_m)
         found = sums.select("set_id", F.when(F.col("n") > 1, value).otherwise(0.0).alias("lambda"))
     elif method == "optimized":
-        other = levels.select("set_id", F.col("k").alias("l"), F.col("n").alias("o"))
-        pairs = levels.join(other, "set_id").where(F.col("k") <= F.col("l")).withColumn("m2", two_m)
-        count = F.when(F.col("k") < F.col("l"), F.col("n") * F.col("o")).otherwise(F.expr("n * (n - 1) div 2"))
-        total = _capped_sum(F.col("k"), F.col("l"), count, F.col("m2"))
-        found = pairs.groupBy("set_id", "m2").agg(total.alias("lambda")).drop("m2")
+        # over all ordered pairs of members, less each member with itself, halved
+        asked = levels.withColumn("m2", two_m).select("set_id", "k", "n", F.expr("m2 div greatest(k, 1)").alias("upto"))
+        sums = _levels_upto(asked, levels.select("set_id", F.col("k").alias("l"), F.col("n").alias("o")))
+        k, n, own = F.col("k"), F.col("n"), F.col("k") <= F.col("upto")
+        found = sums.groupBy("set_id").agg(
+            F.sum(n * (F.col("all") - F.col("count")) - F.when(~own, n).otherwise(0)).alias("sure"),
+            F.sum(_product(n * k, F.col("total")) - _exact(F.when(own, _exact(n * k) * k).otherwise(0))).alias("rest"),
+        )
+        found = found.select("set_id", (_capped(F.col("sure"), F.col("rest"), two_m) / 2).alias("lambda"))
     elif method == "accurate":
         if not dedupe:
             members = members.select("set_id", "v", "k", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
@@ -130,35 +182,51 @@ def suitability(graph: Graph) -> DataFrame:
     Columns: ``measure`` (``pij`` or ``capped_pij``), ``minimum``, ``q1``, ``median``,
     ``mean``, ``q3``, ``maximum`` over the unweighted grid of distinct degrees (degree 0
     included), and ``pij_over_1``, the share of ordered vertex pairs with kl/2M >= 1.
-    Empty for an empty graph. The grid has one cell per pair of distinct degrees; equal
-    values are counted before the quantiles are taken.
+    Empty for an empty graph.
+
+    The grid is never made. The distinct degrees go to one task: D different ones add up
+    to at least D(D-1)/2 edge ends, so there are at most 2 sqrt(M) + 1 of them, two million
+    for a trillion edges. Quantiles are found by bisection on the product, counting the
+    cells below it by binary search in the sorted degrees.
     """
-    levels = graph.degrees.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    total = graph.degrees.agg(F.count(F.lit(1)).alias("n")).scalar()
-    other = levels.select(F.col("k").alias("l"), F.col("n").alias("o"))
-    grid = levels.join(other)
-    values = grid.groupBy((F.col("k") * F.col("l")).alias("kl")).agg(
-        F.count(F.lit(1)).alias("cells"), F.sum(F.col("n").cast("double") * F.col("o")).alias("pairs")
-    )
-    values = values.withColumns({"m2": graph.two_m(), "vertices": total})
-    prod = F.col("kl") / F.col("m2")
-    both = F.inline(
-        F.array(
-            F.struct(F.lit("pij").alias("measure"), F.coalesce(prod, F.lit(0.0)).alias("x"), "cells", "pairs", "vertices"),
-            F.struct(
-                F.lit("capped_pij").alias("measure"), F.least(F.lit(1.0), prod).alias("x"), "cells", "pairs", "vertices"
-            ),
-        )
-    )
-    rows = values.select(both)
-    over = F.coalesce(F.sum(F.when(F.col("x") >= 1, F.col("pairs"))), F.lit(0.0))
-    n = F.max("vertices").cast("double")
-    return rows.groupBy("measure").agg(
-        F.min("x").alias("minimum"),
-        F.expr("percentile(x, 0.25, cells)").alias("q1"),
-        F.expr("percentile(x, 0.5, cells)").alias("median"),
-        (F.sum(F.col("x") * F.col("cells")) / F.sum("cells")).alias("mean"),
-        F.expr("percentile(x, 0.75, cells)").alias("q3"),
-        F.max("x").alias("maximum"),
-        (over / (n * n)).alias("pij_over_1"),
-    )
+    levels = graph.degrees.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("m2", graph.two_m())
+    names = ("minimum", "q1", "median", "mean", "q3", "maximum", "pij_over_1")
+    schema = "measure string, " + ", ".join(f"{n} double" for n in names)
+    return levels.groupBy("m2").applyInPandas(_grid_summary, schema)
+
+
+def _grid_summary(levels: pd.DataFrame) -> pd.DataFrame:
+    levels = levels.sort_values("k")
+    k, n, m2 = levels["k"].to_numpy(np.int64), levels["n"].to_numpy(np.float64), int(levels["m2"].iloc[0])
+    cells = len(k) ** 2
+    positive = k[k > 0]
+    zeros = cells - len(positive) ** 2
+
+    def ranked(rank: int) -> int:
+        """The product of the given rank, from 0."""
+        low, high = -1, int(k[-1]) ** 2  # at most rank cells up to low, more up to high
+        while high - low > 1:
+            middle = (low + high) // 2
+            below = zeros + int(np.searchsorted(positive, middle // positive, "right").sum())
+            low, high = (low, middle) if below > rank else (middle, high)
+        return high
+
+    def quantile(p: float, most: float) -> float:
+        at = p * (cells - 1)
+        low, high = (min(most, ranked(r) / m2) for r in (int(np.floor(at)), int(np.ceil(at))))
+        return low + (high - low) * (at - np.floor(at))
+
+    cut = np.searchsorted(positive, m2 // positive, "right") if len(positive) else positive
+    sums = np.concatenate(([0.0], np.cumsum(positive.astype(np.float64))))
+    capped = float((len(positive) - cut).sum() + (positive * sums[cut]).sum() / m2)
+    whole = float(sums[-1] ** 2 / m2)
+    tail = np.concatenate((np.cumsum(n[::-1])[::-1], [0.0]))
+    with np.errstate(divide="ignore"):
+        least = np.where(k > 0, -(-m2 // np.maximum(k, 1)), k[-1] + 1)  # the smallest partner with kl >= 2M
+    over = float((n * tail[np.searchsorted(k, least)]).sum() / n.sum() ** 2)
+    rows = []
+    for measure, most, total in (("pij", np.inf, whole), ("capped_pij", 1.0, capped)):
+        q1, median, q3 = (quantile(p, most) for p in (0.25, 0.5, 0.75))
+        ends = [min(most, int(x) ** 2 / m2) for x in (k[0], k[-1])]
+        rows.append((measure, ends[0], q1, median, total / cells, q3, ends[1], over))
+    return pd.DataFrame(rows, columns=["measure", "minimum", "q1", "median", "mean", "q3", "maximum", "pij_over_1"])

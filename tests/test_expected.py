@@ -104,3 +104,61 @@ def test_suitability(spark, toy):
     assert (rows["pij"].q1, rows["pij"].median, rows["pij"].q3) == tuple(np.quantile(grid, [0.25, 0.5, 0.75]))
     assert rows["pij"]["mean"] == pytest.approx(grid.mean())
     assert suitability(Graph.from_edges(toy.to_dataframe().limit(0))).count() == 0
+
+
+@pytest.fixture(scope="module")
+def uneven(spark):
+    """A graph with hubs, many degrees and isolated vertices."""
+    rng = random.Random(21)
+    rows = [(f"h{i % 3}", f"v{i}") for i in range(120)] + [(f"v{int(90 * rng.random() ** 2)}", f"v{rng.randint(0, 90)}") for _ in range(300)]
+    return Graph.from_edges(spark.createDataFrame(rows + [("x1", "x1"), ("x2", "x2")], "a string, b string")).persist()
+
+
+def test_optimized_is_accurate_with_isolated_vertices(spark, uneven, rows_of):
+    rng = random.Random(22)
+    names = [f"v{i}" for i in range(120)] + ["h0", "h1", "h2", "x1", "x2", "unknown"]
+    picks = [(i, v) for i in range(12) for v in rng.choices(names, k=3 * i)] + [(20, "x1"), (20, "x2"), (21, "x1"), (21, "h0")]
+    one = spark.createDataFrame(picks, "set_id int, v string")
+    two = spark.createDataFrame([(i, v) for i, _ in picks for v in rng.choices(names, k=2)], "set_id int, v string")
+    for dedupe in (True, False):
+        both = [dict(rows_of(lambda_within(uneven, one, m, dedupe=dedupe))) for m in ("optimized", "accurate")]
+        assert both[0] == pytest.approx(both[1], abs=1e-9) and max(both[0].values()) > 1
+    both = [dict(rows_of(lambda_between(uneven, one, two, m))) for m in ("optimized", "accurate")]
+    assert both[0] == pytest.approx(both[1], abs=1e-9) and max(both[0].values()) > 1
+
+
+def test_suitability_of_many_degrees(uneven):
+    degrees = [r["k"] for r in uneven.degrees.collect()]
+    levels, m2 = np.array(sorted(set(degrees)), float), sum(degrees)
+    assert levels[0] == 0
+    grid = np.outer(levels, levels).ravel() / m2
+    over = np.mean(np.outer(degrees, degrees) >= m2)
+    for row in suitability(uneven).collect():
+        x = grid if row["measure"] == "pij" else np.minimum(grid, 1)
+        want = [x.min(), *np.quantile(x, [0.25, 0.5]), x.mean(), np.quantile(x, 0.75), x.max(), over]
+        assert list(row)[1:] == pytest.approx(want)
+
+
+def test_no_plan_pairs_all_degrees(uneven):
+    sets = uneven.degrees.selectExpr("0 as set_id", "v")
+    for df in (lambda_within(uneven, sets), suitability(uneven), uneven.max_between_degrees(sets, sets.where("v < 'v5'"))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert " Join Cross" not in plan and "(k <= l)" not in plan.replace("#", "")
+
+
+def test_bound_between_sets_by_brute_force(spark, uneven):
+    rng = random.Random(23)
+    degrees = {r["v"]: r["k"] for r in uneven.degrees.collect()}
+    names = sorted(degrees)
+    one, two, want = [], [], {}
+    for i in range(25):
+        a, b = set(rng.sample(names, rng.randint(0, 12))), set(rng.sample(names, rng.randint(0, 12)))
+        one += [(i, v) for v in a]
+        two += [(i, v) for v in b]
+        if not a and not b:
+            continue
+        first, second = sorted((degrees[v] for v in a - b), reverse=True), [degrees[v] for v in b - a]
+        tries = [sum(first[n:]) + sum(min(k, n) for k in second) for n in range(len(first) + 1)]
+        want[i] = min(tries) if first and second else 0
+    frames = [spark.createDataFrame(rows, "set_id int, v string") for rows in (one, two)]
+    assert {r["set_id"]: r["max_edges"] for r in uneven.max_between_degrees(*frames).collect()} == want
