@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import warnings
 from dataclasses import dataclass
 
@@ -102,24 +103,26 @@ def score_element_set(scoring: TermScoring, sets: DataFrame, method: str = "opti
     )
 
 
-def _prefix_sum(df: DataFrame, group: list[str], rank: str, value: Column, name: str) -> DataFrame:
+def _prefix_sum(df: DataFrame, group: list[str], rank: str, value: Column, name: str, blocks: bool) -> DataFrame:
     """Running sum of ``value`` by ``rank`` within ``group``; rows of one rank in a stable order.
 
-    Two levels: within blocks of ``RANK_BLOCK`` ranks, and over the blocks' totals. No
-    task holds more than one block, or one total per block, of a group.
+    One sort per group, or, with ``blocks``, two levels: within blocks of ``RANK_BLOCK``
+    ranks, and over the blocks' totals. No task then holds more than one block, or one
+    total per block, of a group.
     """
+    order = [F.col(rank).asc_nulls_last(), "element"]
+    if not blocks:
+        upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(value).over(upto))
     block = F.floor((F.col(rank) - 1) / RANK_BLOCK).alias("__block")
     rows = df.select("*", block, value.alias("__value"))
-    inner = Window.partitionBy(*group, "__block").orderBy(F.col(rank).asc_nulls_last(), "element")
+    inner = Window.partitionBy(*group, "__block").orderBy(*order)
     rows = rows.withColumn("__inner", F.sum("__value").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
     totals = rows.groupBy(*group, "__block").agg(F.sum("__value").alias("__total"))
     outer = Window.partitionBy(*group).orderBy(F.col("__block").asc_nulls_last())
     outer = outer.rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*group, "__block", F.coalesce(F.sum("__total").over(outer), F.lit(0)).alias("__before"))
-    keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, "__block"]]
-    on = keys[0]
-    for k in keys[1:]:
-        on = on & k
+    on = functools.reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, "__block"]])
     joined = rows.alias("a").join(totals.alias("b"), on)
     kept = [F.col(f"a.`{c}`") for c in df.columns]
     return joined.select(*kept, (F.col("a.__inner") + F.col("b.__before")).alias(name))
@@ -161,15 +164,17 @@ def rank_profiles(
         _report(listed.select("element"), scoring.elements, "element", "ranked elements")
         if terms is not None:
             _report(wanted, scoring.terms, "term", "terms")
+    # lists of at most one block of ranks, which one pass over the lists tells, need one sort
+    blocks = (listed.agg(F.max("rank")).first()[0] or 0) > RANK_BLOCK
     known = listed.join(scoring.elements, "element")
     if rank_mode == "cumulative":
-        summed = _prefix_sum(known, ["list_id"], "rank", F.col("k"), "cum_k")
+        summed = _prefix_sum(known, ["list_id"], "rank", F.col("k"), "cum_k", blocks)
         tied = Window.partitionBy("list_id", "rank")
         summed = summed.select("list_id", "element", "rank", F.max("cum_k").over(tied).alias("cum_k"))
     else:
         vertices = listed.join(scoring.graph.degrees.select(F.col("v").alias("element"), "k"), "element")
-        placed = _prefix_sum(vertices, ["list_id"], "rank", F.lit(1), "position")
-        placed = _prefix_sum(placed, ["list_id"], "rank", F.col("k"), "cum_k")
+        placed = _prefix_sum(vertices, ["list_id"], "rank", F.lit(1), "position", blocks)
+        placed = _prefix_sum(placed, ["list_id"], "rank", F.col("k"), "cum_k", blocks)
         at = placed.select("list_id", F.col("position").alias("rank"), "cum_k")
         summed = known.select("list_id", "element", "rank").join(at, ["list_id", "rank"], "left")
     # a position beyond the list leaves the sum, and so the expectation, null
@@ -180,7 +185,7 @@ def rank_profiles(
         every = every.join(summed, ["list_id", "element"], "left")
     else:
         every = summed.join(members, "element")
-    counted = _prefix_sum(every, ["list_id", "term"], "rank", F.lit(1), "observed_ec")
+    counted = _prefix_sum(every, ["list_id", "term"], "rank", F.lit(1), "observed_ec", blocks)
     n_elements = scoring.elements.agg(F.count(F.lit(1)).alias("n")).scalar()
     rows = counted.withColumns({"m2": scoring.two_m(), "n_e": n_elements})
     rows = rows.withColumn("lambda", F.col("k").cast("double") * F.col("cum_k") / F.col("m2"))
@@ -210,6 +215,19 @@ def _report(given: DataFrame, known: DataFrame, column: str, what: str) -> None:
             raise ValueError(f"none of the {what} is known")
 
 
+def _summarized(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Size, median, and the least, greatest and middle place of every group of (s, p, med) rows."""
+    seen = F.col("s").isNotNull()
+    away = F.round(F.abs(F.col("s") - F.col("med")), 12).alias("d")
+    return rows.groupBy(*key).agg(
+        F.max("term_size").alias("size"),
+        F.max("med").alias("med"),
+        F.min(F.when(seen, F.struct("s", "p"))).alias("lo"),
+        F.min(F.when(seen, F.struct((-F.col("s")).alias("s"), "p"))).alias("hi"),
+        F.min(F.when(seen, F.struct(away, "p"))).alias("at"),
+    )
+
+
 def summarize_profiles(profiles: DataFrame, statistic: str = "z_score", rank_by: str = "max") -> DataFrame:
     """One row per list and term: where a statistic is least, median and greatest.
 
@@ -218,6 +236,9 @@ def summarize_profiles(profiles: DataFrame, statistic: str = "z_score", rank_by:
     scores count; a term without any has nulls throughout. Equal scores are settled by
     the better rank, then by the element; the median's place is the first row closest to it.
 
+    The groups of up to ``RANK_BLOCK`` rows are sorted once each; the medians of larger
+    ones, counted exactly, come from the weighted percentiles of value ranges.
+
     Sorted by the score that ``rank_by`` names (max unless it is min or median):
     descending, but ascending for min, and for p values unless ranked by max; nulls last,
     ties by list and term. An unknown statistic or a missing column warns and gives no
@@ -237,20 +258,23 @@ def summarize_profiles(profiles: DataFrame, statistic: str = "z_score", rank_by:
     finite = score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))
     place = F.struct(F.col("element_relative_rank").alias("r"), F.col("element").alias("e"))
     key = ["list_id", "term_id"]
-    # read three times below: written once
+    # read twice below: written once
     rows = durable(profiles.select(*key, "term_size", F.when(finite, score).alias("s"), place.alias("p")))
-    terms = rows.groupBy(*key).agg(
-        F.max("term_size").alias("size"),
-        F.min(F.when(F.col("s").isNotNull(), F.struct("s", "p"))).alias("lo"),
-        F.min(F.when(F.col("s").isNotNull(), F.struct((-F.col("s")).alias("s"), "p"))).alias("hi"),
-    )
-    scored = rows.where(F.col("s").isNotNull()).select(F.struct(*key).alias("key"), "s", "p")
-    medians = weighted_percentiles(scored, "key", "s", [0.5]).select("key", F.col("percentile").alias("med"))
-    near = scored.join(medians, "key")
-    away = F.struct(F.round(F.abs(F.col("s") - F.col("med")), 12).alias("d"), F.col("p"))
-    middle = near.groupBy("key", "med").agg(F.min(away).alias("at"))
-    middle = middle.select("key.list_id", "key.term_id", "med", "at")
-    joined = terms.join(middle, key, "left")
+    large = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > RANK_BLOCK).select(*key)
+    if large.isEmpty():
+        joined = _summarized(rows.withColumn("med", F.median("s").over(Window.partitionBy(*key))), key)
+    else:
+        large = durable(large)
+        on = functools.reduce(Column.__and__, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in key])
+        few = rows.alias("x").join(large.alias("y"), on, "left_anti")
+        joined = _summarized(few.withColumn("med", F.median("s").over(Window.partitionBy(*key))), key)
+        many = rows.alias("x").join(large.alias("y"), on, "left_semi")
+        scored = many.where(F.col("s").isNotNull()).select(F.struct(*key).alias("key"), "s")
+        medians = weighted_percentiles(scored, "key", "s", [0.5])
+        medians = medians.select("key.*", F.col("percentile").alias("med"))
+        on = functools.reduce(Column.__and__, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in key])
+        many = many.alias("x").join(medians.alias("y"), on, "left").select("x.*", "med")
+        joined = joined.unionByName(_summarized(many, key))
     found = F.col("lo").isNotNull()
     table = joined.select(
         *key,

@@ -36,40 +36,47 @@ def _capped_sum(k: Column, other: Column, pairs: Column, two_m: Column) -> Colum
     return sure + F.coalesce(F.try_divide(rest.cast("double"), two_m.cast("double")), F.lit(0.0))
 
 
-def _levels_upto(asked: DataFrame, levels: DataFrame) -> DataFrame:
-    """(set_id, k, n, upto, count, total, all): for every asked (set_id, k, n, upto), what the levels up to ``upto`` add up to.
-
-    ``levels`` is (set_id, l, o); ``count`` is the sum of o and ``total`` that of l * o over
-    the levels l <= upto of the set, ``all`` the sum of o over all its levels. Both tables
-    are merged by one sort per set, and running sums are read off at the asked places: D
-    log D for D distinct degrees, where a join would make D² rows.
+def _capped_by_levels(asked: DataFrame, two_m: Column, levels: DataFrame | None = None) -> DataFrame:
+    """(set_id, lambda): sum of n * o * min(1, k * l / 2M) over the asked (set_id, k, n) and the levels (set_id, l, o).
+
+    Without ``levels`` the sum is over the asked members among themselves, pairs of a
+    member with itself left out. Both tables are merged by one sort per set; what the
+    levels up to 2M / k add up to is read off their running sums. That is D log D for D
+    distinct degrees, where a join would make D² rows. All sums are exact until the last
+    division.
     """
     none = F.lit(None).cast("long")
-    both = levels.select("set_id", F.col("l").alias("upto"), F.lit(0).alias("kind"), none.alias("k"), none.alias("n"), "l", "o")
-    both = both.unionByName(
-        asked.select("set_id", "upto", F.lit(1).alias("kind"), "k", "n", none.alias("l"), none.alias("o"))
-    )
-    whole = Window.partitionBy("set_id")
-    running = whole.orderBy("upto", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    zero = F.lit(0).cast("decimal(38,0)")
-    found = both.select(
-        "set_id",
-        "kind",
-        "k",
-        "n",
-        "upto",
-        F.coalesce(F.sum("o").over(running), F.lit(0)).alias("count"),
-        F.coalesce(F.sum(_exact(F.col("l") * F.col("o"))).over(running), zero).alias("total"),
-        F.coalesce(F.sum("o").over(whole), F.lit(0)).alias("all"),
-    )
-    return found.where("kind = 1").drop("kind")
 
+    def row(upto: Column, kind: int, **given: str) -> Column:
+        kept = [F.col(given[c]).alias(c) if c in given else none.alias(c) for c in "knlo"]
+        return F.struct(upto.alias("upto"), F.lit(kind).alias("kind"), *kept)
 
-def _capped(sure: Column, rest: Column, two_m: Column) -> Column:
-    """Pairs with probability 1, plus the exact sum of the other products divided by 2M once."""
-    return F.coalesce(sure, F.lit(0)).cast("double") + F.coalesce(
-        F.try_divide(rest.cast("double"), two_m.cast("double")), F.lit(0.0)
+    # a degree of 0 takes part in no edge
+    question = row(F.expr("m2 div greatest(k, 1)"), 1, k="k", n="n")
+    itself = levels is None
+    asked = asked.withColumn("m2", two_m)
+    if itself:
+        both = asked.select("set_id", F.inline(F.array(question, row(F.col("k"), 0, l="k", o="n"))))
+    else:
+        both = asked.select("set_id", F.inline(F.array(question)))
+        both = both.unionByName(levels.select("set_id", F.inline(F.array(row(F.col("l"), 0, l="l", o="o")))))
+    running = Window.partitionBy("set_id").orderBy("upto", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    # a set's degrees add up to 2M at most, so whole numbers of 64 bits hold the running sums
+    sums = both.select(
+        *("set_id", "k", "n", "o", "upto"),
+        F.coalesce(F.sum("o").over(running), F.lit(0)).alias("count"),
+        F.coalesce(F.sum(F.col("l") * F.col("o")).over(running), F.lit(0)).alias("total"),
+    )
+    k, n, own = F.col("k"), F.col("n"), F.col("k") <= F.col("upto")
+    sure, rest = n * F.col("count"), _product(n * k, F.col("total"))
+    if itself:
+        sure = sure + F.when(own, 0).otherwise(n)
+        rest = rest - F.when(own, _product(n * k, k)).otherwise(_exact(F.lit(0)))
+    found = sums.groupBy("set_id").agg(
+        (F.sum("n") * F.sum("o") - F.sum(sure)).alias("sure"), F.sum(_exact(rest)).alias("rest")
     )
+    rest = F.try_divide(F.col("rest").cast("double"), two_m.cast("double"))
+    return found.select("set_id", (F.coalesce("sure", F.lit(0)).cast("double") + F.coalesce(rest, F.lit(0.0))).alias("lambda"))
 
 
 def lambda_between(graph: Graph, sets1: DataFrame, sets2: DataFrame, method: str = "optimized") -> DataFrame:
@@ -88,13 +95,8 @@ def lambda_between(graph: Graph, sets1: DataFrame, sets2: DataFrame, method: str
         found = found.select("set_id", F.try_divide(product, two_m).alias("lambda"))
     elif method == "optimized":
         one, two = (graph.histogram(s) for s in sides)
-        asked = one.withColumn("m2", two_m).select("set_id", "k", "n", F.expr("m2 div greatest(k, 1)").alias("upto"))
-        sums = _levels_upto(asked, two.select("set_id", F.col("k").alias("l"), F.col("n").alias("o")))
-        found = sums.groupBy("set_id").agg(
-            F.sum(F.col("n") * (F.col("all") - F.col("count"))).alias("sure"),
-            F.sum(_product(F.col("n") * F.col("k"), F.col("total"))).alias("rest"),
-        )
-        found = found.select("set_id", _capped(F.col("sure"), F.col("rest"), two_m).alias("lambda"))
+        levels = two.select("set_id", F.col("k").alias("l"), F.col("n").alias("o"))
+        found = _capped_by_levels(one, two_m, levels)
     elif method == "accurate":
         one, two = sides
         pairs = one.select("set_id", "k").join(two.select("set_id", F.col("k").alias("l")), "set_id").withColumn("m2", two_m)
@@ -122,14 +124,8 @@ def lambda_within(graph: Graph, sets: DataFrame, method: str = "optimized", dedu
         found = sums.select("set_id", F.when(F.col("n") > 1, value).otherwise(0.0).alias("lambda"))
     elif method == "optimized":
         # over all ordered pairs of members, less each member with itself, halved
-        asked = levels.withColumn("m2", two_m).select("set_id", "k", "n", F.expr("m2 div greatest(k, 1)").alias("upto"))
-        sums = _levels_upto(asked, levels.select("set_id", F.col("k").alias("l"), F.col("n").alias("o")))
-        k, n, own = F.col("k"), F.col("n"), F.col("k") <= F.col("upto")
-        found = sums.groupBy("set_id").agg(
-            F.sum(n * (F.col("all") - F.col("count")) - F.when(~own, n).otherwise(0)).alias("sure"),
-            F.sum(_product(n * k, F.col("total")) - _exact(F.when(own, _exact(n * k) * k).otherwise(0))).alias("rest"),
-        )
-        found = found.select("set_id", (_capped(F.col("sure"), F.col("rest"), two_m) / 2).alias("lambda"))
+        found = _capped_by_levels(levels, two_m)
+        found = found.select("set_id", (F.col("lambda") / 2).alias("lambda"))
     elif method == "accurate":
         if not dedupe:
             members = members.select("set_id", "v", "k", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))

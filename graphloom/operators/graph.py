@@ -55,6 +55,19 @@ class Graph:
         """The graph of a delimited file; ``options`` as in ``read_edges``."""
         return cls.from_edges(read_edges(spark, path, **options), col1, col2)
 
+    @classmethod
+    def from_graph(cls, graph) -> Graph:
+        """The simple graph of a graph object: anything with an ``edges`` DataFrame of ``src``/``dst`` or ``from``/``to``.
+
+        Directions and other attributes are ignored; vertices without a row in ``edges``
+        are not taken in. TypeError for an object without such a frame.
+        """
+        edges = getattr(graph, "edges", None)
+        for ends in (("src", "dst"), ("from", "to")):
+            if isinstance(edges, DataFrame) and set(ends) <= set(edges.columns):
+                return cls.from_edges(edges, *ends)
+        raise TypeError("a graph object has an edges DataFrame with the columns src and dst, or from and to")
+
     def persist(self) -> Graph:
         """Keep edges and degrees for several queries; lost parts are computed again."""
         self.edges.persist()

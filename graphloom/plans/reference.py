@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +12,10 @@ from pyspark.sql import functions as F
 from graphloom.functions import poisson
 from graphloom.functions.text import filled
 from graphloom.operators import expected
-from graphloom.operators.enrichment import TermScoring, rank_profiles, score_element_set, summarize_profiles
+from graphloom.operators.enrichment import STATISTICS, TermScoring, rank_profiles, score_element_set, summarize_profiles
 from graphloom.operators.graph import Graph
 from graphloom.plans.tables import table
+from graphloom.session import shared_folder
 
 
 def network(spark: SparkSession, folder: str) -> Graph:
@@ -61,6 +64,24 @@ def net_edges(spark: SparkSession, folder: str) -> DataFrame:
     return network(spark, folder).to_dataframe()
 
 
+def net_edges_once(spark: SparkSession, folder: str) -> DataFrame:
+    return network(spark, folder).to_dataframe(one_direction=True)
+
+
+def net_graph_object(spark: SparkSession, folder: str) -> DataFrame:
+    """Degrees of a graph object with vertices and edges."""
+    edges = table(spark, folder, "edge_list", "vertex1", "vertex2").toDF("src", "dst")
+    return Graph.from_graph(SimpleNamespace(vertices=sets(spark, folder).select("v"), edges=edges)).degrees
+
+
+def file_degrees(spark: SparkSession, folder: str) -> DataFrame:
+    """Degrees from a delimited file with a header, its columns chosen by name."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    lines = supplier_parts(spark, folder).select(F.concat_ws("\t", "set_id", "p", "s").alias("set_id\tpart\tsupplier"))
+    lines.write.option("header", True).option("sep", "\x01").option("quote", "").csv(path)
+    return Graph.from_file(spark, path, "supplier", "part").degrees
+
+
 def net_moments(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(network(spark, folder).moments())
 
@@ -94,6 +115,18 @@ def net_max_between(spark: SparkSession, folder: str) -> DataFrame:
     return network(spark, folder).max_between(*set_pairs(spark, folder))
 
 
+def net_max_within_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    return network(spark, folder).max_within(sets(spark, folder), dedupe=False)
+
+
+def net_max_between_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    return network(spark, folder).max_between(*set_pairs(spark, folder), dedupe=False)
+
+
+def net_lambda_within_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(expected.lambda_within(network(spark, folder), sets(spark, folder), dedupe=False))
+
+
 def net_max_within_degrees(spark: SparkSession, folder: str) -> DataFrame:
     return network(spark, folder).max_within_degrees(sets(spark, folder))
 
@@ -163,6 +196,21 @@ def net_statistics_between(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(expected.edge_count_statistics(network(spark, folder), *set_pairs(spark, folder)))
 
 
+def net_statistics_within_by(spark: SparkSession, folder: str, method: str) -> DataFrame:
+    return _rounded(expected.edge_count_statistics(network(spark, folder), sets(spark, folder), method=method))
+
+
+def net_statistics_between_by(spark: SparkSession, folder: str, method: str) -> DataFrame:
+    return _rounded(expected.edge_count_statistics(network(spark, folder), *set_pairs(spark, folder), method=method))
+
+
+def net_statistics_observed(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of a given observation: as many edges as a set has rows."""
+    rows = sets(spark, folder)
+    seen = rows.groupBy("set_id").agg(F.count(F.lit(1)).cast("double").alias("edge_count"))
+    return _rounded(expected.edge_count_statistics(network(spark, folder), rows, observed=seen))
+
+
 def term_set_scores(spark: SparkSession, folder: str, method: str = "optimized") -> DataFrame:
     return _rounded(score_element_set(annotations(spark, folder), sets(spark, folder), method))
 
@@ -184,6 +232,21 @@ def term_rank_profiles(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(rank_profiles(annotations(spark, folder), _ranks(spark, folder)))
 
 
+def term_rank_profiles_positional(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(rank_profiles(annotations(spark, folder), _ranks(spark, folder), rank_mode="positional"))
+
+
+def term_rank_profiles_missing(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(rank_profiles(annotations(spark, folder), _ranks(spark, folder), missing=True))
+
+
+def term_rank_profiles_of_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles of the terms of fifty elements or more only."""
+    scoring = annotations(spark, folder)
+    large = scoring.terms.where(F.col("k") >= 50).select("term")
+    return _rounded(rank_profiles(scoring, _ranks(spark, folder), terms=large))
+
+
 def term_rank_table(spark: SparkSession, folder: str, statistic: str, rank_by: str) -> DataFrame:
     profiles = rank_profiles(annotations(spark, folder), _ranks(spark, folder))
     # scores that differ in the last bits only are ties
@@ -191,13 +254,16 @@ def term_rank_table(spark: SparkSession, folder: str, statistic: str, rank_by: s
     return _rounded(summarize_profiles(profiles, statistic, rank_by))
 
 
-TABLES = [("z_score", "max"), ("z_score", "median"), ("z_score", "min"), ("p_value", "min")]
+TABLES = [(s, by) for s in STATISTICS for by in ("min", "median", "max")]
 
 
 def queries() -> dict:
     plain = (
         net_degrees,
         net_edges,
+        net_edges_once,
+        net_graph_object,
+        file_degrees,
         net_moments,
         net_adjacency,
         net_neighbors,
@@ -206,6 +272,9 @@ def queries() -> dict:
         net_count_between,
         net_max_within,
         net_max_between,
+        net_max_within_repeated,
+        net_max_between_repeated,
+        net_lambda_within_repeated,
         net_max_within_degrees,
         net_max_between_degrees,
         hub_suitability,
@@ -213,13 +282,20 @@ def queries() -> dict:
         poisson_grid,
         net_statistics_within,
         net_statistics_between,
+        net_statistics_observed,
         ecset_small_parts,
         term_rank_profiles,
+        term_rank_profiles_positional,
+        term_rank_profiles_missing,
+        term_rank_profiles_of_terms,
     )
     out = {f.__name__: f for f in plain}
     for method in expected.METHODS:
         out[f"net_lambda_between_{method}"] = partial(net_lambda_between, method=method)
         out[f"net_lambda_within_{method}"] = partial(net_lambda_within, method=method)
+        if method != "optimized":
+            out[f"net_statistics_within_{method}"] = partial(net_statistics_within_by, method=method)
+            out[f"net_statistics_between_{method}"] = partial(net_statistics_between_by, method=method)
         if method != "accurate":
             out[f"hub_lambda_within_{method}"] = partial(hub_lambda_within, method=method)
         out[f"order_lambda_between_{method}"] = partial(order_lambda_between, method=method)
@@ -317,7 +393,29 @@ w AS (SELECT c.list_id, p.term, c.element, c.rank, tm.k, tm.k * c.cum_k / (SELEC
              row_number() OVER (PARTITION BY c.list_id, p.term ORDER BY c.rank, c.element) AS x
       FROM c JOIN p USING (element) JOIN tm USING (term)),
 f AS (SELECT list_id, term AS term_id, element, rank / (SELECT count(*) FROM el)::DOUBLE AS element_relative_rank, lam, x, rank,
-             k AS term_size, (x - lam) / sqrt(lam) AS z_score, {_tail("x", "rank", "lam")} AS p_value FROM w)"""
+             lam AS "lambda", k AS term_size, CASE WHEN lam > 0 THEN (x - lam) / sqrt(lam) END AS z_score,
+             0.5 * (log2(x + 0.375::DOUBLE) - log2(lam + 0.375::DOUBLE)) AS log2_anscombe_ratio,
+             CASE WHEN lam > 0 THEN log2(x) - log2(lam) END AS log2_relative_change, {_tail("x", "rank", "lam")} AS p_value FROM w)
+"""
+)
+_PROFILE_ROWS = """SELECT list_id, term_id, element, round(element_relative_rank, 6) AS element_relative_rank, round(lam, 6) AS "lambda",
+x AS observed_ec, rank AS max_ec, term_size, round(z_score, 6) AS z_score, round(log2_anscombe_ratio, 6) AS log2_anscombe_ratio,
+round(log2_relative_change, 6) AS log2_relative_change, round(p_value, 6) AS p_value FROM f"""
+_SUMMED = """sum(el.k) OVER (PARTITION BY rl.list_id ORDER BY rl.rank) AS cum_k
+      FROM rl JOIN el USING (element)),"""
+_POSITIONAL = _PROFILE.replace(
+    "c AS (SELECT rl.list_id, rl.element, rl.rank, " + _SUMMED,
+    """vx AS (SELECT list_id, sum(k) OVER o AS cum_k, row_number() OVER o AS rank FROM rl
+       JOIN (SELECT element, k FROM el UNION ALL SELECT term, k FROM tm) USING (element) WINDOW o AS (PARTITION BY list_id ORDER BY rank, element
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+c AS (SELECT rl.list_id, rl.element, rl.rank, vx.cum_k FROM rl JOIN el USING (element) LEFT JOIN vx USING (list_id, rank)),""",
+)
+_MISSING = _PROFILE.replace(
+    "FROM c JOIN p USING (element) JOIN tm USING (term)),",
+    """FROM (SELECT DISTINCT list_id FROM c) ls JOIN p ON true JOIN tm USING (term)
+      LEFT JOIN c ON c.list_id = ls.list_id AND c.element = p.element),""",
+).replace("SELECT c.list_id, p.term, c.element,", "SELECT ls.list_id, p.term, p.element,").replace(
+    "PARTITION BY c.list_id, p.term ORDER BY c.rank, c.element", "PARTITION BY ls.list_id, p.term ORDER BY c.rank NULLS LAST, p.element"
 )
 
 
@@ -325,7 +423,7 @@ def _rank_table(statistic: str) -> str:
     return (
         _PROFILE
         + f""",
-v AS (SELECT list_id, term_id, term_size, round({statistic}, 9) AS s, element AS e, element_relative_rank AS r FROM f),
+v AS (SELECT list_id, term_id, term_size, round("{statistic}", 9) AS s, element AS e, element_relative_rank AS r FROM f),
 md AS (SELECT list_id, term_id, quantile_cont(s, 0.5) AS med FROM v GROUP BY 1, 2)
 SELECT list_id, term_id, max(term_size) AS term_size,
   round(min(s), 6) AS min_score, arg_min(e, (s, r, e)) AS element_at_min, round(arg_min(r, (s, r, e)), 6) AS rank_at_min,
@@ -415,11 +513,38 @@ a AS (SELECT pi.set_id, coalesce(lb.lam, 0) AS lam, coalesce(cn.edge_count, 0) A
       FROM pi LEFT JOIN lb USING (set_id) LEFT JOIN cn USING (set_id) LEFT JOIN mx USING (set_id))
 SELECT set_id, round({tail}, 6) AS p_value, {stats} FROM a""",
         "ecset_small_parts": _PARTS + _set_scores(True).replace("SELECT set_id, term AS term_id", "SELECT term AS term_id"),
-        "term_rank_profiles": _PROFILE
-        + """SELECT list_id, term_id, element, round(element_relative_rank, 6) AS element_relative_rank, round(lam, 6) AS "lambda",
-x AS observed_ec, rank AS max_ec, term_size, round(z_score, 6) AS z_score,
-round(0.5 * (log2(x + 0.375::DOUBLE) - log2(lam + 0.375::DOUBLE)), 6) AS log2_anscombe_ratio,
-round(log2(x) - log2(lam), 6) AS log2_relative_change, round(p_value, 6) AS p_value FROM f""",
+        "net_edges_once": _NET + "SELECT v AS from_id, nbr AS to_id FROM e WHERE v < nbr",
+        "net_graph_object": _NET + "SELECT v, k FROM d",
+        "file_degrees": _PARTS.partition("s AS (")[0].rstrip(" ,\n")
+        + " SELECT term AS v, k FROM tm UNION ALL SELECT element, k FROM el",
+        "net_max_within_repeated": _NET
+        + _SETS
+        + """, q AS (SELECT set_id, count(*) * (count(*) - 1) / 2.0::DOUBLE AS max_edges
+  FROM vertex_sets JOIN d ON d.v = vertex GROUP BY 1)"""
+        + by_set("max_edges"),
+        "net_max_between_repeated": _NET
+        + _PAIRED
+        + """, q AS (SELECT set_id // 2 AS set_id, CAST(count(*) FILTER (set_id % 2 = 0) AS DOUBLE) * count(*) FILTER (set_id % 2 = 1) AS max_edges
+  FROM vertex_sets JOIN d ON d.v = vertex GROUP BY 1)"""
+        + by_pair("max_edges"),
+        "net_lambda_within_repeated": _NET
+        + """,
+si AS (SELECT DISTINCT set_id FROM vertex_sets),
+sk AS (SELECT set_id, v, k, row_number() OVER (PARTITION BY set_id ORDER BY v) AS i FROM vertex_sets JOIN d ON d.v = vertex),
+q AS (SELECT a.set_id, round(sum(least(1.0::DOUBLE, a.k * b.k / (SELECT m2 FROM mm)::DOUBLE)), 6) AS "lambda"
+      FROM sk a JOIN sk b ON a.set_id = b.set_id AND a.i < b.i GROUP BY 1)"""
+        + by_set('"lambda"'),
+        "net_statistics_observed": _NET
+        + _SETS
+        + _LAMBDA_IN
+        + f""", cn AS (SELECT set_id, CAST(count(*) AS DOUBLE) AS x FROM vertex_sets GROUP BY 1), mx AS ({max_in}),
+a AS (SELECT si.set_id, coalesce(li.lam, 0) AS lam, cn.x, coalesce(mx.max_edges, 0) AS m
+      FROM si LEFT JOIN li USING (set_id) JOIN cn USING (set_id) LEFT JOIN mx USING (set_id))
+SELECT set_id, round({tail}, 6) AS p_value, {stats} FROM a""",
+        "term_rank_profiles": _PROFILE + _PROFILE_ROWS,
+        "term_rank_profiles_positional": _POSITIONAL + _PROFILE_ROWS,
+        "term_rank_profiles_missing": _MISSING + _PROFILE_ROWS,
+        "term_rank_profiles_of_terms": _PROFILE + _PROFILE_ROWS + " WHERE term_size >= 50",
     }
     pairwise = {
         "accurate": "sum(least(1.0::DOUBLE, {a}.k * {b}.k / (SELECT m2 FROM mm)::DOUBLE))",
@@ -471,4 +596,10 @@ si AS (SELECT DISTINCT set_id FROM t)"""
         out[f"term_set_scores_{method}"] = _TERMS + members + _set_scores(method != "fast")
     for statistic, rank_by in TABLES:
         out[f"term_rank_table_{statistic}_{rank_by}"] = _rank_table(statistic)
+    uncapped = "least(1.0::DOUBLE, a.k * b.k / (SELECT m2 FROM mm)::DOUBLE)"
+    for kind in ("within", "between"):
+        exact = out[f"net_statistics_{kind}"]
+        assert uncapped in exact
+        out[f"net_statistics_{kind}_accurate"] = exact
+        out[f"net_statistics_{kind}_fast"] = exact.replace(uncapped, "a.k * b.k / (SELECT m2 FROM mm)::DOUBLE")
     return out

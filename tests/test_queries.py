@@ -4,9 +4,11 @@ import __spark_entry__ as entry_points
 from graphloom.plans import general, reference
 
 SQL = reference.oracle_sql() | general.oracle_sql()
+# the rows do not depend on the order, which test_enrichment covers
+ORDERS = {f"term_rank_table_{s}_{by}" for s, by in reference.TABLES if by != "max"}
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(set(SQL) - ORDERS))
 def test_query_matches_sql(same_as_sql, name):
     same_as_sql(name)
 
