@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
@@ -12,16 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from graphloom.session import durable
+
 #: Seeds: which of the consecutive words of a window must agree (1); the others are ignored.
 MASKS = ("1111", "11011", "10111", "11101", "110011", "101101")
 #: Marks that break a word at the end of a line.
 BREAKS = "-=\u00ac~\u00ad\u2010\u2011\u2e17"
 #: Stands in a word where a line begins, before it or where two halves met; no letter of its plain form.
 JOINT = "\n"
-#: Pixels between the left edges of lines that belong to different columns.
-COLUMN_GAP = 150
-#: Passages that are searched for in one pass over the pages; more are searched in blocks.
-BLOCK_ITEMS = 20_000
+#: Characters of all passages together up to which they are broadcast (about 100 bytes each word); more are joined by shuffle.
+BLOCK_CHARS = 1 << 22
+#: Words of a passage that are compared at once; longer ones are cut into pieces that overlap by half.
+PIECE = 256
+#: Bits of the filter of all seeds of the passages, and hits that make a page and a passage a candidate.
+FILTER_BITS, HITS = 1 << 27, 3
 #: Words of a reprint, exact words that make a candidate worth verifying, words per misread and per missing one.
 WORDS, EXACT, MISREAD_EVERY, MISSING_EVERY = 12, 9, 6, 24
 #: Words between two parts of a reprint that need not be whole lines, and words that run together.
@@ -44,7 +48,15 @@ class _Words(dict):
     """Word as written -> number of its plain form in the passages' vocabulary, 0 if in none, -1 if empty."""
 
     def __init__(self, vocabulary: dict[str, int], table: dict[int, str]):
-        self.vocabulary, self.table, self.plains = vocabulary, table, {}
+        self.vocabulary, self.table, self.plains, self.compared = vocabulary, table, {}, {}
+
+    def near(self, word: str, other: str) -> bool:
+        """``_near``, remembered: the same words stand at many line ends."""
+        if (found := self.compared.get((word, other))) is None:
+            if len(self.compared) >= 1 << 20:
+                self.compared.clear()
+            found = self.compared[word, other] = _near(word, other)
+        return found
 
     def plain(self, word: str) -> str:
         if (plain := self.plains.get(word)) is None:
@@ -62,24 +74,26 @@ class _Words(dict):
         return number
 
 
-def reading_order(lines: list[str], left: list[int], top: list[int], right: list[int]) -> list[str]:
+def reading_order(
+    lines: list[str], left: list[int], top: list[int], right: list[int], gap: int = 150, bar: str | None = " | "
+) -> list[str]:
     """The page's lines column by column, from top to bottom.
 
-    Left edges more than ``COLUMN_GAP`` apart begin another column. A line in which
-    neighbouring columns were read as one, parted by a bar, is cut at the bars; where
+    Left edges more than ``gap`` apart begin another column. A line in which
+    neighbouring columns were read as one, parted by a ``bar``, is cut at the bars; where
     each part stands follows from its share of the line.
     """
     parts = []
     for line, x0, y0, x1 in zip(lines, left, top, right):
-        if " | " in line:
+        if bar and bar in line:
             at, width = 0, (x1 - x0) / max(len(line), 1)
-            for part in line.split(" | "):
+            for part in line.split(bar):
                 parts.append((x0 + at * width, y0, part))
-                at += len(part) + 3
+                at += len(part) + len(bar)
         else:
             parts.append((x0, y0, line))
     edges = sorted(p[0] for p in parts)
-    cuts = [b for a, b in zip(edges, edges[1:]) if b - a > COLUMN_GAP]
+    cuts = [b for a, b in zip(edges, edges[1:]) if b - a > gap]
     if not cuts:
         return [p[2] for p in sorted(parts, key=lambda p: p[1])]
     return [p[2] for p in sorted(parts, key=lambda p: (sum(p[0] >= c for c in cuts), p[1]))]
@@ -128,15 +142,31 @@ def seed_hashes(numbers: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]
     return at, h
 
 
+def look_alikes() -> dict[int, str]:
+    """The characters of one shape, for ``plain_word``; built on the driver only."""
+    from graphloom.llm.lookalikes import shape_map
+
+    return {ord(c): x for c, x in shape_map().items()}
+
+
 class Passages:
-    """The passages of one block as arrays: word numbers, and all seed hashes in order."""
+    """The passages of one block as arrays: word numbers, and all seed hashes in order.
 
-    def __init__(self, keys: list, texts: list[str | None]):
-        from graphloom.llm.lookalikes import shape_map  # built on the driver only
+    A passage of more than ``PIECE`` words is several overlapping pieces of one key, so
+    the arrays grow with the words, not with the longest passage.
+    """
 
-        self.table = {ord(c): x for c, x in shape_map().items()}
-        self.keys = keys
-        plain = [[p for w in (t or "").split() if (p := plain_word(w, self.table))] for t in texts]
+    def __init__(self, keys: list, texts: list[str | None], table: dict[int, str]):
+        self.table = table
+        self.keys: list = []
+        self.first: list[int] = []  # the first piece of the same passage
+        plain: list[list[str]] = []
+        for key, text in zip(keys, texts):
+            words = [p for w in (text or "").split() if (p := plain_word(w, table))]
+            for at in range(0, max(1, len(words) - PIECE // 2), PIECE // 2) if len(words) > PIECE else (0,):
+                plain.append(words[at : at + PIECE])
+                self.first.append(len(self.keys) if not at else self.first[-1])
+                self.keys.append(key)
         self.words = plain
         self.vocabulary: dict[str, int] = {}
         for words in plain:
@@ -144,7 +174,7 @@ class Passages:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         self.lengths = np.array([len(w) for w in plain], np.int64)
         self.width = int(self.lengths.max(initial=0))
-        self.numbers = np.full((len(plain), self.width), -2, np.int64)
+        self.numbers = np.full((len(plain), self.width), -2, np.int32)
         for i, words in enumerate(plain):
             self.numbers[i, : len(words)] = [self.vocabulary[w] for w in words]
         hashes, items, places = [], [], []
@@ -152,9 +182,9 @@ class Passages:
             for mask in range(len(MASKS)):
                 at, h = seed_hashes(self.numbers[i, : len(words)], mask)
                 hashes.append(h)
-                places.append(at)
-                items.append(np.full(len(at), i))
-        empty = [np.empty(0, np.int64)]
+                places.append(at.astype(np.int32))
+                items.append(np.full(len(at), i, np.int32))
+        empty = [np.empty(0, np.int32)]
         self.hashes = np.concatenate(hashes or [np.empty(0, np.uint64)])
         order = np.argsort(self.hashes, kind="stable")
         self.hashes = self.hashes[order]
@@ -292,10 +322,10 @@ def _states(
                 states[k : k + 2] = 0
             elif k and own == passage[k - 1] + word:
                 states[k - 1 : k + 1] = 0
-            elif _near(own, word):
+            elif cache.near(own, word):
                 states[k] = 1
     for k, word, both in broken:
-        if both and states[k] == 2 and _near(word, passage[k]):
+        if both and states[k] == 2 and cache.near(word, passage[k]):
             states[k] = 1
     return states
 
@@ -346,7 +376,7 @@ def _verified(
     found = exact.copy()
     for d, k in np.argwhere(held & ~exact).tolist() if at.max() - at.min() > INSERTED else ():
         if 0 <= at[d] + k < len(page) and (own := cache.plain(page[at[d] + k])):
-            found[d, k] = passage[k].endswith(own) or _near(own, passage[k])
+            found[d, k] = passage[k].endswith(own) or cache.near(own, passage[k])
     best, seen = 0, None
     for offset in sorted(set(offsets)):
         since = _followers(fresh, at, found, (at >= offset - SHIFTED) & (at <= offset + INSERTED))
@@ -378,7 +408,7 @@ def _short_parts(
         if not (0 <= p < len(page) and 0 <= k < n):
             return 0
         own, word = head + cache.plain(page[p].split(JOINT)[-1] if head else page[p]), passage[k]
-        return 2 if own == word else int(len(word) >= 4 and _near(own, word))
+        return 2 if own == word else int(len(word) >= 4 and cache.near(own, word))
 
     def head(p: int) -> str:
         return cache.plain(page[p].rpartition(JOINT)[0])
@@ -457,7 +487,7 @@ def search_block(pages: list[list[str]], passages: Passages, cache: _Words) -> l
     starts = np.concatenate(([0], change))
     total = np.add.reduceat(times, starts)
     counts = np.diff(np.append(starts, len(hits)))
-    hits = hits[np.repeat(total >= 3, counts)]
+    hits = hits[np.repeat(total >= HITS, counts)]
     padded = np.concatenate((np.zeros(passages.width, np.int64), numbers, np.zeros(passages.width, np.int64)))
     at, opened = 0, -1
     while at < len(hits):  # blocks of whole (page, item) pairs
@@ -511,46 +541,144 @@ def search_block(pages: list[list[str]], passages: Passages, cache: _Words) -> l
     return reprints
 
 
-def _searcher(shared, item_type: pa.DataType):
+def read_pages(batch: pa.RecordBatch, gap: int, bar: str | None) -> list[list[str]]:
+    """The words, as written and in reading order, of the pages of a (key, text, boxes) batch."""
+    boxes = batch.column(2)
+    bounds = boxes.offsets.to_numpy()
+    valid = boxes.is_valid().to_pylist()
+    x0, y0, x1 = (boxes.values.field(n).fill_null(0).to_pylist() for n in ("x0", "y0", "x1"))
+    pages = []
+    for i, text in enumerate(batch.column(1).to_pylist()):
+        lines = (text or "").split("\n")
+        a, b = int(bounds[i]), int(bounds[i + 1])
+        if valid[i] and b - a == len(lines):
+            lines = reading_order(lines, x0[a:b], y0[a:b], x1[a:b], gap, bar)
+        pages.append(page_words(lines))
+    return pages
+
+
+def _found(pages: list[list[str]], passages: Passages, cache: _Words) -> Iterator[tuple[int, int, int]]:
+    """(page, a piece of the passage, words) of all reprints, once for each page and passage."""
+    at = 0
+    while at < len(pages):  # about a million words at a time
+        end, size = at, 0
+        while end < len(pages) and (end == at or size + len(pages[end]) <= 1 << 19):
+            size += len(pages[end])
+            end += 1
+        best: dict[tuple[int, int], int] = {}
+        for page, piece, length in search_block(pages[at:end], passages, cache):
+            pair = at + page, passages.first[piece]
+            best[pair] = max(best.get(pair, 0), length)
+        yield from ((page, piece, length) for (page, piece), length in best.items())
+        at = end
+
+
+def _searcher(shared, item_type: pa.DataType, gap: int, bar: str | None):
+    """(key, text, boxes) rows -> reprints of the broadcast passages."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages.restored(shared.value)
         cache = _Words(passages.vocabulary, passages.table)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            boxes = batch.column(2)
-            bounds = boxes.offsets.to_numpy()
-            valid = boxes.is_valid().to_pylist()
-            x0, y0, x1 = (boxes.values.field(n).fill_null(0).to_pylist() for n in ("x0", "y0", "x1"))
-            pages = []
-            for i, text in enumerate(texts):
-                lines = (text or "").split("\n")
-                a, b = int(bounds[i]), int(bounds[i + 1])
-                if valid[i] and b - a == len(lines):
-                    lines = reading_order(lines, x0[a:b], y0[a:b], x1[a:b])
-                pages.append(page_words(lines))
-            keys = batch.column(0)
-            at = 0
-            while at < len(pages):  # about a million words at a time
-                end, size = at, 0
-                while end < len(pages) and (end == at or size + len(pages[end]) <= 1 << 19):
-                    size += len(pages[end])
-                    end += 1
-                found = search_block(pages[at:end], passages, cache)
-                if found:
-                    page, item, length = zip(*found)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            keys.take(pa.array([at + p for p in page])),
-                            pa.array([passages.keys[i] for i in item], item_type),
-                            pa.array(length, pa.int32()),
-                        ],
-                        ["key", "item", "n_words"],
-                    )
-                at = end
+            if found := list(_found(read_pages(batch, gap, bar), passages, cache)):
+                page, piece, length = zip(*found)
+                columns = [batch.column(0).take(pa.array(page)), pa.array([passages.keys[i] for i in piece], item_type)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(length, pa.int32())], ["key", "item", "n_words"])
 
     return run
 
 
+class _Hashes(_Words):
+    """Word as written -> a hash of its plain form, -1 if that is empty."""
+
+    def __init__(self, table: dict[int, str]):
+        super().__init__({}, table)
+
+    def __missing__(self, word: str) -> int:
+        plain = self.plain(word)
+        number = 1 + (int.from_bytes(hashlib.blake2b(plain.encode(), digest_size=8).digest()) >> 2) if plain else -1
+        if len(self) >= 1 << 20:
+            self.clear()
+        self[word] = number
+        return number
+
+
+def text_seeds(words: list[str], hashes: _Hashes) -> np.ndarray:
+    """The distinct seed hashes of a text."""
+    numbers = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
+    numbers = numbers[numbers >= 0]
+    return np.unique(np.concatenate([seed_hashes(numbers, mask)[1] for mask in range(len(MASKS))]))
+
+
+def _seeds(table, known, gap: int, bar: str | None, broken: bool):
+    """(id, text, boxes) rows -> (h, id): the seeds of every page, or passage, that the filter ``known`` lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes(table.value)
+        bits = np.frombuffer(known.value, np.uint64) if known is not None else None
+        for batch in batches:
+            texts = read_pages(batch, gap, bar) if broken else [(t or "").split() for t in batch.column(1).to_pylist()]
+            seeds = []
+            for words in texts:
+                h = text_seeds(words, hashes)
+                if bits is not None:
+                    bucket = h >> np.uint64(64 - FILTER_BITS.bit_length() + 1)
+                    h = h[(bits[(bucket >> np.uint64(6)).astype(np.int64)] >> (bucket & np.uint64(63))) & np.uint64(1) == 1]
+                seeds.append(h)
+            rows = np.repeat(np.arange(len(texts)), [len(h) for h in seeds])
+            flat = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column(0).take(pa.array(rows))], ["h", "id"])
+
+    return run
+
+
+def _verifier(table, item_type: pa.DataType, gap: int, bar: str | None):
+    """(key, text, boxes, item, passage) rows, candidates -> those that are reprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for i, (words, passage) in enumerate(zip(read_pages(batch, gap, bar), batch.column(4).to_pylist())):
+                passages = Passages([None], [passage], table.value)
+                out += [(i, length) for _, _, length in _found([words], passages, _Words(passages.vocabulary, passages.table))]
+            row, length = zip(*out) if out else ((), ())
+            taken = [batch.column(c).take(pa.array(row, pa.int64())) for c in (0, 3)]
+            yield pa.RecordBatch.from_arrays([taken[0], taken[1].cast(item_type), pa.array(length, pa.int32())], ["key", "item", "n_words"])
+
+    return run
+
+
+def _joined(rows: DataFrame, asked: DataFrame, schema: str, item_type: pa.DataType, gap: int, bar: str | None) -> DataFrame:
+    """Reprints of any number of passages: the seeds of both sides meet in a shuffle, two passes over the pages.
+
+    A fixed-size filter of the passages' seeds (``FILTER_BITS``, however many there are)
+    keeps most seeds of the pages out of the shuffle. Pairs with ``HITS`` common seeds are
+    fetched and verified.
+    """
+    context = rows.sparkSession.sparkContext
+    table = context.broadcast(look_alikes())
+    asked = durable(asked.withColumn("id", F.monotonically_increasing_id()))
+    none = rows.select("boxes").schema["boxes"].dataType
+    texts = asked.select("id", F.col("passage").alias("text"), F.lit(None).cast(none).alias("boxes"))
+    wanted = durable(texts.mapInArrow(_seeds(table, None, gap, bar, False), "h long, id long"))
+    shift = 64 - FILTER_BITS.bit_length() + 1
+    bucket = F.shiftrightunsigned("h", shift)
+    word = F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {shift}) & 63 as int))"))
+    filled = wanted.groupBy(F.shiftright(bucket, 6).alias("at")).agg(word.alias("bits")).collect()  # at most FILTER_BITS / 64 rows
+    bits = np.zeros(max(1, FILTER_BITS // 64), np.int64)
+    bits[[r["at"] for r in filled]] = [r["bits"] for r in filled]
+    known = context.broadcast(bits.tobytes())
+    # a page is its key and two hashes of its text
+    named = rows.select(F.struct("key", *[F.xxhash64(F.lit(i), F.col("text")).alias(f"x{i}") for i in (0, 1)]).alias("id"), "text", "boxes")
+    kind = named.schema["id"].dataType.simpleString()
+    pages = named.mapInArrow(_seeds(table, known, gap, bar, True), f"h long, id {kind}")
+    hits = pages.join(wanted.withColumnRenamed("id", "passage_id"), "h").groupBy("id", "passage_id").agg(F.count(F.lit(1)).alias("n"))
+    hits = durable(hits.where(F.col("n") >= HITS).select("id", F.col("passage_id")))
+    pairs = named.join(hits, "id").join(asked.withColumnRenamed("id", "passage_id"), "passage_id")
+    pairs = pairs.select(F.col("id.key").alias("key"), "text", "boxes", "item", "passage")
+    return pairs.mapInArrow(_verifier(table, item_type, gap, bar), schema)
+
+
 def leaked_items(
     pages: DataFrame,
     items: DataFrame,
@@ -559,38 +687,37 @@ def leaked_items(
     boxes: str = "boxes",
     item: str = "item_id",
     passage: str = "passage",
+    column_gap: int = 150,
+    bar: str | None = " | ",
 ) -> DataFrame:
     """(key, item, n_words): every page that reprints at least ``WORDS`` consecutive words of a passage.
 
     A page is read column by column, from the boxes of its lines (without boxes, or with
-    another number of them than lines, in the order of the text). Words broken at line
-    ends are put together and brought to one form. ``n_words`` is the longest stretch in
-    which at most one word in six is misread or missing; what stands between two parts of
+    another number of them than lines, in the order of the text): left edges more than
+    ``column_gap`` apart begin another column, a ``bar`` parts columns read as one line
+    (None: no such lines). Words broken at line ends are put together and brought to one
+    form. ``n_words`` is the longest stretch in which at most one word in six is misread or missing; what stands between two parts of
     it, such as an advert, does not count: any number of whole lines, or ``INSERTED`` words
-    where a part ends or begins within a line. Null and empty texts and passages, and
+    where a part ends or begins within a line. Of a passage of more than ``PIECE`` words it
+    is the longest stretch within one of its pieces. Null and empty texts and passages, and
     passages of fewer words, match nothing; repeated rows each give their own; an empty
     table gives no rows; other columns are not read.
 
     Every window of the words gives one hash per mask of ``MASKS``; hashes of pages and
     passages are joined, the diagonals around the hits are compared word by word, and
     pages with enough exact words are verified with misreadings allowed. Any twelve words
-    with two damaged ones contain several seeds. Pages are never shuffled: the passages
-    of one block (at most ``BLOCK_ITEMS``) are broadcast; more are searched block by
-    block.
+    with two damaged ones contain several seeds. Passages of ``BLOCK_CHARS`` characters or
+    less altogether are broadcast, and pages are neither shuffled nor read twice; more are
+    joined to the pages by the hashes of their seeds.
     """
     rows = pages.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(boxes).alias("boxes"))
     rows = rows.where(F.length("text") > 0)
     asked = items.select(F.col(item).alias("item"), F.col(passage).alias("passage")).where(F.length("passage") > 0)
-    blocks = max(1, math.ceil(asked.count() / (0.8 * BLOCK_ITEMS)))
     item_type, key_type = asked.schema["item"].dataType, pages.schema[key].dataType
-    found = None
-    for i in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("item", "passage"), F.lit(blocks)) == i) if blocks > 1 else asked
-        listed = block.collect()
-        shared = pages.sparkSession.sparkContext.broadcast(
-            vars(Passages([r["item"] for r in listed], [r["passage"] for r in listed]))
-        )
-        run = _searcher(shared, to_arrow_type(item_type))
-        part = rows.mapInArrow(run, f"key {key_type.simpleString()}, item {item_type.simpleString()}, n_words int")
-        found = part if found is None else found.unionByName(part)
-    return found
+    schema = f"key {key_type.simpleString()}, item {item_type.simpleString()}, n_words int"
+    if (asked.agg(F.sum(F.length("passage"))).first()[0] or 0) > BLOCK_CHARS:
+        return _joined(rows, asked, schema, to_arrow_type(item_type), column_gap, bar)
+    listed = asked.collect()
+    passages = Passages([r["item"] for r in listed], [r["passage"] for r in listed], look_alikes())
+    shared = pages.sparkSession.sparkContext.broadcast(vars(passages))
+    return rows.mapInArrow(_searcher(shared, to_arrow_type(item_type), column_gap, bar), schema)

@@ -112,6 +112,14 @@ def p9_reprints(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "n_words")
 
 
+def p9_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages that hold twelve consecutive words of a passage, their own or another: reprints without damage."""
+    items = table(spark, folder, "benchmark", "item_id", "passage")
+    pages = items.withColumn("boxes", F.lit(None).cast("array<struct<x0:int,y0:int,x1:int>>"))
+    found = contamination.leaked_items(pages, items, key="item_id", text="passage")
+    return found.select(F.col("key").alias("page_id"), F.col("item").alias("item_id"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pages whose texts look the same but are different strings."""
     found = lookalikes.alike_pairs(table(spark, folder, "documents", "doc_id", "text"))
@@ -142,6 +150,7 @@ def queries() -> dict:
             p8_round_trip,
             p9_found,
             p9_reprints,
+            p9_passages,
             p10_found,
             p10_canonical,
         )
@@ -243,6 +252,13 @@ FROM k a JOIN k b ON a.s = b.s AND a.doc_id < b.doc_id AND a.text <> b.text""",
         "p10_canonical": _shapes()
         + """SELECT doc_id, CASE WHEN s IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS canonical_doc_id
 FROM k""",
+        "p9_passages": r"""
+WITH w AS (SELECT item_id, unnest(list_filter(list_transform(regexp_split_to_array(passage, '\s+'),
+             lambda x: regexp_replace(lower(strip_accents(x)), '[^\p{L}\p{N}]', '', 'g')), lambda x: x <> '')) AS word,
+             generate_subscripts(list_filter(list_transform(regexp_split_to_array(passage, '\s+'),
+             lambda x: regexp_replace(lower(strip_accents(x)), '[^\p{L}\p{N}]', '', 'g')), lambda x: x <> ''), 1) AS i FROM benchmark),
+g AS (SELECT item_id, string_agg(word, ' ') OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS words, i FROM w)
+SELECT DISTINCT a.item_id AS page_id, b.item_id FROM g a JOIN g b USING (words) WHERE a.i >= 12 AND b.i >= 12""",
         "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p1_found": _FREQUENCIES + "SELECT field_name, field_value, mark FROM f WHERE mark IS NOT NULL",
         "p1_frequencies": _FREQUENCIES + "SELECT * FROM f",

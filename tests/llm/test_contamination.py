@@ -101,11 +101,36 @@ def test_reprints(world):
     assert found[904, 6] == 60
 
 
-def test_blocks_of_items(world, monkeypatch):
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 8])
+def test_passages_joined_by_their_seeds(world, monkeypatch, bits):
+    pages, items, _ = world
+    want = sorted(map(tuple, c.leaked_items(pages, items).collect()))
+    monkeypatch.setattr(c, "BLOCK_CHARS", 10)
+    monkeypatch.setattr(c, "FILTER_BITS", bits)
+    assert sorted(map(tuple, c.leaked_items(pages, items).collect())) == want
+    assert c.leaked_items(pages.limit(0), items).count() == 0
+    twice = c.leaked_items(pages.unionByName(pages), items.unionByName(items))
+    assert sorted(map(tuple, twice.collect())) == sorted(want * 4)
+
+
+def test_long_passages_in_pieces(world, monkeypatch):
     pages, items, want = world
-    monkeypatch.setattr(c, "BLOCK_ITEMS", 15)
-    found = {(r["key"], r["item"]) for r in c.leaked_items(pages, items).collect()}
-    assert found == want
+    monkeypatch.setattr(c, "PIECE", 40)
+    assert {(r["key"], r["item"]) for r in c.leaked_items(pages, items).collect()} == want
+
+
+def test_arrays_grow_with_the_words_of_passages():
+    texts = ["some few words only"] * 500 + [" ".join(f"w{i}" for i in range(100_000))]
+    made = c.Passages(list(range(501)), texts, c.look_alikes())
+    arrays = sum(x.nbytes for x in vars(made).values() if hasattr(x, "nbytes"))
+    assert arrays < 64e6 and made.width == c.PIECE
+    assert {made.keys[i] for i in made.first} == set(range(501))
+
+
+def test_columns_and_bars_are_parameters():
+    lines, left, top, right = ["a1", "b1", "a2 / b2"], [0, 60, 0], [0, 0, 30], [40, 100, 100]
+    assert c.reading_order(lines, left, top, right, gap=50, bar=" / ") == ["a1", "a2", "b1", "b2"]
+    assert c.reading_order(lines, left, top, right) == ["a1", "b1", "a2 / b2"]
 
 
 def test_empty_tables(world):
@@ -143,7 +168,7 @@ def test_longest_reprint(states, words):
 
 
 def found_in(words, lines):
-    passages = c.Passages([7], [" ".join(words)])
+    passages = c.Passages([7], [" ".join(words)], c.look_alikes())
     return c.search_block([c.page_words(lines)], passages, c._Words(passages.vocabulary, passages.table))
 
 
