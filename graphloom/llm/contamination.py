@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -210,6 +211,26 @@ class Passages:
         return left, first + np.arange(len(left))
 
 
+def _edits(word: str, other: str) -> int:
+    """The edit distance of two words, by the bits of one whole number per letter of ``other``."""
+    n = len(word)
+    last, every = 1 << (n - 1), (1 << n) - 1
+    places: dict[str, int] = {}
+    for i, c in enumerate(word):
+        places[c] = places.get(c, 0) | 1 << i
+    rising, falling, edits = every, 0, n
+    for c in other:
+        same = places.get(c, 0)
+        across = same | falling
+        down = (((same & rising) + rising) ^ rising) | same
+        up, down_up = falling | (every & ~(down | rising)), rising & down
+        edits += bool(up & last) - bool(down_up & last)
+        up = (up << 1 | 1) & every
+        rising = (down_up << 1 & every) | (every & ~(across | up))
+        falling = up & across
+    return edits
+
+
 def _near(word: str, other: str) -> bool:
     """Whether one word may be a misreading of the other: few edits for its length.
 
@@ -230,6 +251,10 @@ def _near(word: str, other: str) -> bool:
     letters, others = set(word), set(other)  # a letter that only one has is an edit, but for the confused ones
     if len(letters - others - UNSURE) > most or len(others - letters - UNSURE) > most:
         return False
+    plain = _edits(word, other)
+    pairs = sum(min(x.count(one), y.count(two)) for one, two in CONFUSED.items() for x, y in ((word, other), (other, word)))
+    if plain <= most or plain - 2 * pairs > most:  # each pair of confused letters saves two edits at most
+        return plain <= most
     rows = [list(range(len(other) + 1))]
     for i, a in enumerate(word, 1):
         row = [i]
@@ -402,7 +427,7 @@ def _short_parts(
     line, those before at the ends of the lines before. Words are exact or, from four
     letters on, misread; the exact ones have at least ``LETTERS`` letters together.
     """
-    n, lines = len(passage), np.flatnonzero(fresh)
+    n, lines = len(passage), np.flatnonzero(fresh).tolist()
 
     def agrees(p: int, k: int, head: str = "") -> int:  # 2 exact, 1 misread
         if not (0 <= p < len(page) and 0 <= k < n):
@@ -422,21 +447,21 @@ def _short_parts(
             i += step
         return run, same
 
-    queue = [(o, row[:n].copy()) for o, row in zip(offsets, exact)]
+    queue = [(o, row[:n].tolist()) for o, row in zip(offsets, exact)]
     done, found = set(), []
     while queue:
         offset, row = queue.pop()
-        for p in lines[np.searchsorted(lines, offset + 1) : np.searchsorted(lines, offset + n)].tolist():
+        for p in lines[bisect_left(lines, offset + 1) : bisect_left(lines, offset + n)]:
             k = p - offset
             tries = []
-            if row[max(0, k - 3) : k].any() and not row[k : k + 2].all() and agrees(p - 1, k - 1):
-                behind = lines[np.searchsorted(lines, p + 1) : np.searchsorted(lines, p + INSERTED, "right")]
+            if any(row[max(0, k - 3) : k]) and not all(row[k : k + 2]) and agrees(p - 1, k - 1):
+                behind = lines[bisect_left(lines, p + 1) : bisect_right(lines, p + INSERTED)]
                 first = head(p)
-                tries += [(q, 1, agrees(q, k, first) if first else 0) for q in behind.tolist()]
-            if row[k : k + 3].any() and not row[max(0, k - 2) : k].all():
-                before = lines[np.searchsorted(lines, p - INSERTED) : np.searchsorted(lines, p)]
+                tries += [(q, 1, agrees(q, k, first) if first else 0) for q in behind]
+            if any(row[k : k + 3]) and not all(row[max(0, k - 2) : k]):
+                before = lines[bisect_left(lines, p - INSERTED) : bisect_left(lines, p)]
                 whole = agrees(p, k)
-                for q in before.tolist():
+                for q in before:
                     joined = agrees(p, k, first) if (first := head(q)) else 0
                     if joined or whole:
                         tries.append((q, -1, joined))
@@ -447,8 +472,9 @@ def _short_parts(
                 run, same = part(q, k, step, joined)
                 if sum(len(passage[j]) for j in same) >= LETTERS:
                     found.append((q - k, run, [j for j in same if j != k or not joined]))
-                    new = np.zeros(n, bool)
-                    new[run] = True
+                    new = [False] * n
+                    for j in run:
+                        new[j] = True
                     queue.append((q - k, new))
     return found
 
@@ -546,7 +572,7 @@ def read_pages(batch: pa.RecordBatch, gap: int, bar: str | None) -> list[list[st
     boxes = batch.column(2)
     bounds = boxes.offsets.to_numpy()
     valid = boxes.is_valid().to_pylist()
-    x0, y0, x1 = (boxes.values.field(n).fill_null(0).to_pylist() for n in ("x0", "y0", "x1"))
+    x0, y0, x1 = (boxes.values.field(n).fill_null(0).to_numpy(zero_copy_only=False).tolist() for n in ("x0", "y0", "x1"))
     pages = []
     for i, text in enumerate(batch.column(1).to_pylist()):
         lines = (text or "").split("\n")
