@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import (
@@ -99,6 +99,19 @@ def p8_round_trip(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS
     return tokenizer.decode_texts(coded, path)
 
 
+def p8_offsets(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Code points that the slices of every page cover, and whether they have all its ids."""
+    pages = table(spark, folder, "documents", "doc_id", "text")
+    coded = tokenizer.encode_texts(pages, f"{tokenizers}/byte_bpe_50k.tiktoken", offsets=True)
+
+    def total(numbers: str) -> Column:
+        return F.aggregate(numbers, F.lit(0).cast("long"), lambda s, x: s + x)
+
+    return coded.select(
+        "doc_id", total("slice_chars").alias("n_chars"), (total("slice_ids") == F.size("ids")).alias("complete")
+    )
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pages that reprint a passage of a test item."""
     return p9_reprints(spark, folder).select("doc_id", "item_id")
@@ -148,6 +161,7 @@ def queries() -> dict:
             p7_classes,
             p8_ids,
             p8_round_trip,
+            p8_offsets,
             p9_found,
             p9_reprints,
             p9_passages,
@@ -260,6 +274,7 @@ WITH w AS (SELECT item_id, unnest(list_filter(list_transform(regexp_split_to_arr
 g AS (SELECT item_id, string_agg(word, ' ') OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS words, i FROM w)
 SELECT DISTINCT a.item_id AS page_id, b.item_id FROM g a JOIN g b USING (words) WHERE a.i >= 12 AND b.i >= 12""",
         "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p8_offsets": "SELECT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, true AS complete FROM documents",
         "p1_found": _FREQUENCIES + "SELECT field_name, field_value, mark FROM f WHERE mark IS NOT NULL",
         "p1_frequencies": _FREQUENCIES + "SELECT * FROM f",
         "p2_found": _TOGETHER

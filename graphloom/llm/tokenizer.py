@@ -146,9 +146,11 @@ def encode_block(texts: list[str], classes: np.ndarray, merged: dict) -> tuple[n
     return ids, np.diff(np.concatenate(([0], np.cumsum(counts)))[at]), slices, np.diff(at)
 
 
-def _encoder(path: str, offsets: bool):
+def _encoder(path: str, shared, offsets: bool):
+    """(key, text) rows -> ids; ``shared`` broadcasts the class of every code point."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, classes = read_ranks(path), code_point_classes()
+        ranks, classes = read_ranks(path), np.frombuffer(shared.value, np.uint8)
         merged = _Merged(ranks)
         for batch in batches:
             texts = batch.column(1).fill_null("").to_pylist()
@@ -185,7 +187,7 @@ def encode_texts(
     text has an empty list. Rows with equal keys stay rows of their own; an empty table
     gives no rows; other columns are not read. With ``offsets``, ``slice_chars`` and
     ``slice_ids`` tell how many code points and ids every slice of the text has, so each
-    id can be traced back to its place; see ``decode_texts``.
+    id can be traced back to its place; see ``decode_slices``.
 
     One pass without a shuffle. Texts are cut into slices by arrays over a whole block of
     texts; each distinct slice is merged once per task and then looked up.
@@ -193,19 +195,52 @@ def encode_texts(
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, ids array<int>" + (", slice_chars array<int>, slice_ids array<int>" if offsets else "")
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    coded = rows.mapInArrow(_encoder(path, offsets), schema)
+    shared = df.sparkSession.sparkContext.broadcast(code_point_classes().tobytes())  # one byte each, 1.1 MB
+    coded = rows.mapInArrow(_encoder(path, shared, offsets), schema)
     return coded.withColumnRenamed("key", key)
 
 
 def decode_texts(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, text): the texts whose ids are given; an empty or null list is an empty text."""
+    rows = df.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
+    kind = df.schema[key].dataType.simpleString()
+    return rows.mapInArrow(_decoder(path), f"key {kind}, text string").withColumnRenamed("key", key)
+
 
+def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = {rank: token for token, rank in read_ranks(path).items()}
         for batch in batches:
             texts = [b"".join(map(parts.__getitem__, x or ())).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["key", "text"])
 
+    return run
+
+
+def decode_slices(df: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+    """(key, slice_no, begins, text): every slice of every text, from ids and offsets as of ``encode_texts``.
+
+    ``begins`` is the code point of the text at which the slice starts, counted from 0.
+    Texts without slices have no row.
+    """
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
-    return rows.mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = {rank: token for token, rank in read_ranks(path).items()}
+        for batch in batches:
+            row, number, begins, texts = [], [], [], []
+            ids, chars, counts = (batch.column(c).to_pylist() for c in (1, 2, 3))
+            for i, (own, wide, many) in enumerate(zip(ids, chars, counts)):
+                at = place = 0
+                for j, (w, n) in enumerate(zip(wide or (), many or ())):
+                    row.append(i)
+                    number.append(j)
+                    begins.append(place)
+                    texts.append(b"".join(map(parts.__getitem__, own[at : at + n])).decode("utf-8", "replace"))
+                    at, place = at + n, place + w
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32())]
+            columns += [pa.array(begins, pa.int32()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "slice_no", "begins", "text"])
+
+    rows = df.select(F.col(key).alias("key"), "ids", "slice_chars", "slice_ids")
+    return rows.mapInArrow(run, f"key {kind}, slice_no int, begins int, text string").withColumnRenamed("key", key)

@@ -175,3 +175,13 @@ def test_every_character_has_the_coarse_form_of_its_shape():
         plain = lookalikes.ligatures().get(c, c)
         for form in ("NFC", "NFD"):
             assert coarse(unicodedata.normalize(form, same)) == coarse(plain) == coarse(unicodedata.normalize(form, plain)), hex(ord(c))
+
+
+def test_slices_stand_where_their_offsets_say(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    found = tokenizer.decode_slices(tokenizer.encode_texts(df, PATH, offsets=True), PATH).collect()
+    whole = defaultdict(str)
+    for r in sorted(found, key=lambda r: (r.doc_id, r.slice_no)):
+        assert TEXTS[r.doc_id][r.begins :].startswith(r.text) and len(whole[r.doc_id]) == r.begins
+        whole[r.doc_id] += r.text
+    assert whole == {i: t for i, t in enumerate(TEXTS) if t}
