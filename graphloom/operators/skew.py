@@ -61,9 +61,10 @@ def key_profile(df: DataFrame, key: str, value: str) -> DataFrame:
     0 values and a null mode. An empty table gives no rows. Other columns of ``df``,
     whatever their names, are not read.
 
-    Both levels are partial + final hash aggregates: a key with a third of all rows is
-    compressed to (value, count) on the map side, spread by the hash of key *and* value,
-    and reaches its final task as one partial row per map task.
+    A key with a third of all rows is compressed to (value, count) by a hash aggregate on
+    the map side and spread by the hash of key *and* value. The second level is partial and
+    final as well, so a key reaches its last task as one row per task before; it aggregates
+    by sorting, since the mode is a value of any length, and spills where it must.
     """
     counted = value_counts(df, key, value)
     # the order of the struct makes the smallest value win among equal counts
@@ -91,7 +92,9 @@ def weighted_percentiles(
     No task sees a whole hot key: at most ``splitters`` cut points of the overall value
     distribution split every key into ordered value ranges; the weights per (key, range)
     locate the range that holds a rank, and only the rows of that range are sorted.
-    The cut points steer the layout only, the result is exact for any of them.
+    The cut points steer the layout only, the result is exact for any of them. A range
+    holds about 1 / ``splitters`` of the distinct values of a hot key: give more of them
+    for keys of more than some billion distinct values.
     """
     rows = df.select(F.col(key).alias("key"), F.col(value).cast("double").alias("value"))
     rows = rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
