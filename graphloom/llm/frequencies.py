@@ -22,9 +22,11 @@ def value_frequencies(
     counts once as a record and every time as a row. An empty table gives no rows; only
     the two named columns are read.
 
-    Pairs are made distinct in one map-side-combined shuffle. Detected heavy values are
-    a bounded table, broadcast; every task counts them in its own exact counters, one per
-    heavy value, and sends one number for each. Only the light values are shuffled by
+    Pairs are made distinct in one map-side-combined shuffle, which heavy values cross
+    too, since a distinct partner can only be counted once all its repetitions have met.
+    Detected heavy values are a bounded table, broadcast; every task then counts them in
+    its own exact counters, one slot per heavy value (the map side of an aggregate over
+    the slots), and sends one number for each. Only the light values are shuffled by
     value. The detection steers the layout; any list gives the same counts.
     """
     rows = layout.clean_pairs(df, term, element)
