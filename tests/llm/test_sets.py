@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import layout
 from graphloom.llm.cooccurrence import cooccurring_items
@@ -97,6 +98,40 @@ def test_packed_codes_over_small_runs(df, sets, monkeypatch):
     assert first == sorted(map(tuple, cooccurring_items(df, most_items=60, least_together=2).collect()))
 
 
+def test_a_record_within_the_limit_counts_whatever_its_members_hash_to(spark):
+    # of many members those that a sketch of 512 registers takes for thousands
+    hashed = spark.range(400_000).select(F.format_string("E%06d", "id").alias("e")).withColumn("h", F.xxhash64("e"))
+    tail = F.shiftrightunsigned(F.shiftleft("h", 9), 1)
+    rarest = hashed.groupBy(F.shiftrightunsigned("h", 55)).agg(F.min_by("e", tail).alias("e")).collect()
+    items = sorted(r.e for r in rarest)[:500]
+    assert len(items) == 500
+    rows = [("K", e) for e in items] + [(f"T{i}", e) for i in range(3) for e in items[:2]]
+    found = cooccurring_items(spark.createDataFrame(rows, "term string, element string"), most_items=500, least_together=4)
+    assert [(r.item_a, r.item_b, r.n_a, r.n_together, r.n_all) for r in found.collect()] == [(*items[:2], 4, 4, 4)]
+
+
+@pytest.mark.parametrize("most", [0, 1, 5, 60, 100, 149, 150, 189, 5000])
+def test_keys_are_proven_large_only_if_they_are(df, sets, most):
+    rows = layout.clean_pairs(df, "term", "element")
+    large = {t for t, e in sets.items() if len(e) > most}
+    proven = layout.proven_large(rows, list(sets), most)
+    assert large >= set(proven) >= {t for t, e in sets.items() if len(e) > 2 * most} and len(proven) == len(set(proven))
+    found = {r.key: set(r.members) for r in layout.small_sets(rows, most).collect()}
+    assert found == {t: e for t, e in sets.items() if t not in large}
+
+
+def test_spellings_that_are_equal_under_a_collation_are_one_member(spark):
+    spelled = ["".join(c) for w in "uvwxyz" for c in itertools.product(*[(x, x.upper()) for x in f"item{w}"])]
+    rows = [(k, e) for e in spelled for k in "Kk"] + [("L", f"item{i}") for i in range(40)]
+    pairs = spark.createDataFrame(rows, "key string, member string")
+    key, member = F.collate("key", "UTF8_LCASE").alias("key"), F.collate("member", "UTF8_LCASE").alias("member")
+    found = layout.small_sets(pairs.select(key, member), 10).collect()
+    assert [(r.key.upper(), {m.lower() for m in r.members}) for r in found] == [("K", {f"item{w}" for w in "uvwxyz"})]
+    assert layout.small_sets(pairs.select(key, "member"), 10).count() == 0
+    bytewise = layout.small_sets(pairs.select(key, "member"), 6 * 32).collect()
+    assert sorted((r.key.upper(), len(r.members)) for r in bytewise) == [("K", 6 * 32), ("L", 40)]
+
+
 @pytest.mark.parametrize("size, split, listed", [(1 << 17, 1 << 20, 128), (50, 1 << 20, 4), (50, 40, 2), (400, 40, 128)])
 def test_overlaps(df, sets, size, split, listed, monkeypatch):
     from graphloom.llm import set_overlap
