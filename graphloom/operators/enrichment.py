@@ -6,10 +6,13 @@ import functools
 import warnings
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import poisson
+from graphloom.operators import incidence
 from graphloom.operators.expected import METHODS, _capped_sum
 from graphloom.operators.graph import Graph
 from graphloom.operators.skew import weighted_percentiles
@@ -19,6 +22,7 @@ from graphloom.sources.edges import read_edges, two_columns
 #: Ranks that one task sorts; prefix sums run over blocks of so many, then over the blocks.
 RANK_BLOCK = 1 << 16
 STATISTICS = ("lambda", "z_score", "log2_anscombe_ratio", "log2_relative_change", "p_value", "element_relative_rank")
+SCORES = ("p_value", "z_score", "lambda", "observed_edges", "log2_Anscombe", "log2_RelChange")
 
 
 @dataclass(frozen=True)
@@ -62,19 +66,112 @@ class TermScoring:
         return self.pairs.agg((F.count(F.lit(1)) * 2).alias("k2")).scalar()
 
 
-def score_element_set(scoring: TermScoring, sets: DataFrame, method: str = "optimized") -> DataFrame:
+def score_element_set(
+    scoring: TermScoring, sets: DataFrame, method: str = "optimized", digits: int | None = None
+) -> DataFrame:
     """Every term with an edge to a set of elements, for each set (set_id, v).
 
     Columns: ``set_id``, ``term_id``, ``p_value``, ``z_score``, ``lambda``,
     ``observed_edges``, ``log2_Anscombe``, ``log2_RelChange``. Repeated, unknown and null
     members are ignored; a set without known elements or connected terms gives no rows.
+    Doubles are rounded to ``digits`` if they are given.
 
-    The expectation of a term depends on its degree only: it is computed once per set
-    and distinct term degree, from the set's histogram of element degrees.
+    The expectation of a term depends on its degree only, and its statistics on the number
+    of its edges besides: they are computed once for all terms of a block that share these.
+    Up to ``incidence.MEMBERS`` known members are collected when this is called, and a term
+    is counted against all sets in one place, so that only edges cross the shuffle; more
+    members are joined, which shuffles every pair of a set and a term.
     """
     if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}, not {method!r}")
     known = sets.select("set_id", F.col("v").cast("string").alias("element")).distinct().join(scoring.elements, "element")
+    members = incidence.collected(
+        known.where(F.col("set_id").isNotNull()).withColumn("m2", scoring.two_m()), "set_id", "element"
+    )
+    if members is None:
+        rows = _joined_scores(scoring, known, method)
+        return rows if digits is None else rows.select(*[F.round(c, digits).alias(c) if t == "double" else c for c, t in rows.dtypes])
+    shared = sets.sparkSession.sparkContext.broadcast(_set_levels(members) | {"starts": members.starts, "held": members.held})
+    edges = incidence.by_key(scoring.pairs, "term", "element", members, others=True)
+    kind = known.schema["set_id"].dataType.simpleString()
+    schema = f"set_id {kind}, term_id string, " + ", ".join(f"{c} double" for c in SCORES)
+    return edges.mapInArrow(_scorer(shared, members.ids, method, digits), schema)
+
+
+def _set_levels(members: incidence.Members) -> dict:
+    """Of every set, its size and sum of degrees, and its distinct degrees with running sums, rising."""
+    k, sets, n = members.table.column("k").to_numpy().astype(np.int64), members.sets, len(members.ids)
+    two_m = int(members.table.column("m2")[0].as_py()) if len(k) else 0
+    span = int(k.max(initial=0)) + 2
+    levels, times = np.unique(sets * span + k, return_counts=True)
+    degrees = levels % span
+    return {
+        "size": np.bincount(sets, minlength=n),
+        "total": np.bincount(sets, weights=k, minlength=n).astype(np.int64),
+        "two_m": two_m,
+        "span": span,
+        "levels": levels,
+        "times": times,
+        "ends": np.searchsorted(levels, np.arange(n + 1) * span),
+        "members": np.concatenate(([0], np.cumsum(times))),
+        "sums": np.concatenate(([0], np.cumsum(times * degrees))),
+    }
+
+
+def _set_lambda(of: dict, sets: np.ndarray, k: np.ndarray, method: str) -> np.ndarray:
+    """The expected edges of a term of degree k with a set, for many (set, k)."""
+    two_m = of["two_m"]
+    if method == "fast":
+        return k.astype(float) * of["total"][sets] / two_m
+    begin, end = of["ends"][sets], of["ends"][sets + 1]
+    if method == "accurate":
+        out, degrees = np.zeros(len(sets)), of["levels"] % of["span"]
+        for part in incidence.even_slices(end - begin, incidence.CELLS):
+            places = incidence.stretches(begin[part], (end - begin)[part])
+            at = np.repeat(np.arange(len(sets))[part], (end - begin)[part])
+            chance = np.minimum(1.0, k[at].astype(float) * degrees[places] / two_m)
+            out += np.bincount(at, of["times"][places] * chance, len(sets))
+        return out
+    # levels up to 2M / k have a chance below 1; exact integers until the last division
+    cut = np.searchsorted(of["levels"], sets * of["span"] + np.minimum(two_m // k, of["span"] - 1), "right")
+    below = of["sums"][cut] - of["sums"][begin]
+    if int(k.max(initial=0)) * int(below.max(initial=0)) >= 1 << 63:
+        k, below = k.astype(object), below.astype(object)
+    return (of["members"][end] - of["members"][cut]).astype(float) + (k * below).astype(float) / two_m
+
+
+def _scorer(shared, ids: pa.Array, method: str, digits: int | None):
+    """For ``mapInArrow``: the scores of (key, code) rows sorted by key."""
+
+    def run(batches):
+        of = shared.value
+        for names, sizes, counts in incidence.counted(batches, of["starts"], of["held"], len(ids)):
+            at, sets = np.nonzero(counts)
+            degrees, place = np.unique(sizes, return_inverse=True)
+            codes, (k, s, x) = incidence.factorized(place[at], sets, counts[at, sets])
+            x, m = x.astype(float), of["size"][s]
+            both, (pair_k, pair_s) = incidence.factorized(k, s)
+            lam = _set_lambda(of, pair_s, degrees[pair_k], method)[both]
+            columns = [
+                poisson.truncated_tail(x, m, lam),
+                (x - lam) / np.sqrt(lam),
+                lam,
+                x,
+                (np.log2(x + 0.375) - np.log2(lam + 0.375)) / 2,
+                np.log2(x) - np.log2(lam),
+            ]
+            columns = [incidence.rounded(c, digits) for c in columns]
+            for i in range(0, len(at), incidence.BATCH):
+                part = slice(i, i + incidence.BATCH)
+                rows = [ids.take(pa.array(sets[part])), names.take(pa.array(at[part]))]
+                rows += [pa.array(c[codes[part]], from_pandas=True) for c in columns]
+                yield pa.RecordBatch.from_arrays(rows, ["set_id", "term_id", *SCORES])
+
+    return run
+
+
+def _joined_scores(scoring: TermScoring, known: DataFrame, method: str) -> DataFrame:
+    """``score_element_set`` of known members (set_id, element, k) by joins: every pair of a set and a term is shuffled."""
     sized = known.groupBy("set_id").agg(F.count(F.lit(1)).alias("size"), F.sum("k").alias("total"))
     hits = scoring.pairs.join(known.select("set_id", "element"), "element").groupBy("set_id", "term")
     hits = hits.agg(F.count(F.lit(1)).cast("double").alias("observed_edges")).join(scoring.terms, "term")

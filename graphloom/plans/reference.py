@@ -212,7 +212,7 @@ def net_statistics_observed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def term_set_scores(spark: SparkSession, folder: str, method: str = "optimized") -> DataFrame:
-    return _rounded(score_element_set(annotations(spark, folder), sets(spark, folder), method))
+    return score_element_set(annotations(spark, folder), sets(spark, folder), method, digits=6)
 
 
 def ecset_small_parts(spark: SparkSession, folder: str) -> DataFrame:
