@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import incidence
 from graphloom.sources.edges import read_edges, two_columns
 
 
@@ -104,8 +105,23 @@ class Graph:
         return joined.select("v", F.coalesce("neighbors", F.array().cast("array<string>")).alias("neighbors"))
 
     def neighbors(self, sets: DataFrame) -> DataFrame:
-        """(set_id, v): the distinct neighbours of the members of every set; members may be among them."""
-        return self.edges.join(_members(sets), "v").select("set_id", F.col("nbr").alias("v")).distinct()
+        """(set_id, v): the distinct neighbours of the members of every set; members may be among them.
+
+        Up to ``incidence.MEMBERS`` members are collected when this is called, and the sets
+        of every neighbour are found in one place, so that only edges cross the shuffle. More
+        members are joined, and the neighbours of all sets made distinct by a shuffle.
+        """
+        wanted = _members(sets).select("set_id", "v")
+        members = incidence.collected(wanted, "set_id", "v")
+        if members is None:
+            return self.edges.join(wanted, "v").select("set_id", F.col("nbr").alias("v")).distinct()
+        rows = incidence.by_key(self.edges, "nbr", "v", members)
+        kind = wanted.schema["set_id"].dataType
+        shared = sets.sparkSession.sparkContext.broadcast((members.starts, members.held, members.ids))
+        found = rows.mapInArrow(
+            incidence.met_sets(shared, members.ids.type), f"key string, sets array<{kind.simpleString()}>"
+        )
+        return found.select(F.explode("sets").alias("set_id"), F.col("key").alias("v"))
 
     def members(self, sets: DataFrame, dedupe: bool = True) -> DataFrame:
         """(set_id, v, k, times): the known members of every set with their degrees and multiplicity."""

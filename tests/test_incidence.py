@@ -56,3 +56,16 @@ def test_rounding_equals_that_of_spark(spark):
     rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", F.round("x", 6).alias("y")).collect()
     assert incidence.rounded(np.array([r.x for r in rows]), 6).tolist() == [r.y for r in rows]
     assert np.isnan(incidence.rounded(np.array([np.nan]), 6)).all()
+
+
+def test_neighbors_shuffle_edges_only(spark, many, monkeypatch, small_blocks):
+    scoring, sets = many
+    found = scoring.graph.neighbors(sets)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(set_id" not in plan
+    monkeypatch.setattr(incidence, "MEMBERS", 0)
+    wanted = scoring.graph.neighbors(sets)
+    assert "hashpartitioning(set_id" in wanted._jdf.queryExecution().executedPlan().toString()
+    assert {r.set_id for r in wanted.collect()} == {1, 5, 9, None}
+    same(found, wanted)
+    assert scoring.graph.neighbors(sets.limit(0)).count() == 0
