@@ -240,7 +240,8 @@ def rank_profiles(
     scoring), ``lambda``, ``observed_ec``, ``max_ec``, ``term_size``, ``z_score``,
     ``log2_anscombe_ratio``, ``log2_relative_change``, ``p_value``. With ``missing``, the
     elements of a term that a list lacks come last, with null statistics; the result then
-    has every edge for every list. Repeated rows of a list, unknown
+    has every edge for every list (up to ``incidence.MEMBERS`` rows of lists are collected
+    for that when this is called; more are joined). Repeated rows of a list, unknown
     elements and unknown or repeated ``terms`` (term) are ignored; ``check`` warns of the
     unknown ones and raises ValueError if none is known.
 
@@ -264,6 +265,14 @@ def rank_profiles(
     # lists of at most one block of ranks, which one pass over the lists tells, need one sort
     blocks = (listed.agg(F.max("rank")).first()[0] or 0) > RANK_BLOCK
     known = listed.join(scoring.elements, "element")
+    n_elements, two_m, collected = scoring.elements.agg(F.count(F.lit(1)).alias("n")).scalar(), scoring.two_m(), None
+    if missing:
+        # one pass over the edges gives the ranked elements and both totals
+        whole = scoring.elements.agg(F.struct(F.count(F.lit(1)).alias("n"), (F.sum("k") * 2).alias("k2")).alias("t"))
+        known = durable(known.where(F.col("list_id").isNotNull()).withColumn("t", whole.scalar()))
+        n_elements, two_m = (F.lit(x).cast("long") for x in (known.select("t.n", "t.k2").first() or (None, None)))
+        known = known.drop("t")
+        collected = incidence.collected(known.select("list_id", "element"), "list_id", "element")
     if rank_mode == "cumulative":
         summed = _prefix_sum(known, ["list_id"], "rank", F.col("k"), "cum_k", blocks)
         tied = Window.partitionBy("list_id", "rank")
@@ -275,19 +284,21 @@ def rank_profiles(
         at = placed.select("list_id", F.col("position").alias("rank"), "cum_k")
         summed = known.select("list_id", "element", "rank").join(at, ["list_id", "rank"], "left")
     # a position beyond the list leaves the sum, and so the expectation, null
-    members = pairs.join(sizes, "term")
-    if missing:
+    members, lacked = pairs.join(sizes, "term"), None
+    if collected is not None:
+        lacked = _lacked(pairs, sizes, collected, known.schema["list_id"].dataType.simpleString())
+        every = members.join(F.broadcast(summed), "element")  # at most incidence.MEMBERS rows
+    elif missing:
         lists = summed.select(F.col("list_id").alias("l")).distinct().agg(F.collect_set("l").alias("ls"))
         every = members.select("*", F.explode(lists.scalar()).alias("list_id"))
         every = every.join(summed, ["list_id", "element"], "left")
     else:
         every = summed.join(members, "element")
     counted = _prefix_sum(every, ["list_id", "term"], "rank", F.lit(1), "observed_ec", blocks)
-    n_elements = scoring.elements.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = counted.withColumns({"m2": scoring.two_m(), "n_e": n_elements})
+    rows = counted.withColumns({"m2": two_m, "n_e": n_elements})
     rows = rows.withColumn("lambda", F.col("k").cast("double") * F.col("cum_k") / F.col("m2"))
     x, expected = F.col("observed_ec").cast("double"), F.col("lambda")
-    return rows.select(
+    profiles = rows.select(
         "list_id",
         F.col("term").alias("term_id"),
         "element",
@@ -301,6 +312,77 @@ def rank_profiles(
         poisson.relative_change(x, expected).alias("log2_relative_change"),
         poisson.p_value(x, F.col("max_ec"), expected).alias("p_value"),
     )
+    if lacked is None:
+        return profiles
+    kinds = dict(profiles.dtypes)
+    return profiles.union(lacked.select(*[c if c in lacked.columns else F.lit(None).cast(kinds[c]).alias(c) for c in kinds]))
+
+
+def _lacked(pairs: DataFrame, sizes: DataFrame, ranked: incidence.Members, kind: str) -> DataFrame:
+    """(list_id, term_id, element, observed_ec, term_size) of the elements of every term that a list lacks.
+
+    They come after the ranked elements of the term, by element. Only edges are shuffled:
+    of a term, first its degree, then its ranked elements, which are counted for every
+    list, and then all elements in order, of which the missing ones are numbered.
+    """
+    spark = pairs.sparkSession
+    rows = incidence.coded(pairs, "element", ranked)
+    none = F.lit(None).cast("string").alias("element")
+    once = F.struct(F.lit(1).alias("kind"), "element", "code")
+    before = F.when(F.col("code") >= 0, F.struct(F.lit(0).alias("kind"), none, "code"))
+    rows = rows.select("term", F.inline(F.array_compact(F.array(before, once))))
+    rows = rows.unionByName(sizes.select("term", F.lit(-1).alias("kind"), none, F.col("k").alias("code")))
+    rows = incidence.in_one_place(rows, "term", "kind", "element")
+    shared = spark.sparkContext.broadcast((ranked.starts, ranked.held, ranked.ids))
+    entry = f"struct<list_id: {kind}, observed_ec: bigint>"
+    found = rows.mapInArrow(_numbered(shared), f"term_id string, element string, term_size long, lists array<{entry}>")
+    return found.select("term_id", "element", "term_size", F.inline("lists"))
+
+
+def _numbered(shared):
+    """For ``mapInArrow``: (term, element, degree, lists with places) of sorted (term, kind, element, code) rows."""
+
+    def run(batches):
+        starts, held, ids = shared.value
+        n = len(ids)
+        step = max(1, incidence.CELLS // 4 // max(1, n))
+        name, degree, seen = None, 0, None  # of the last term, which may go on: its places taken in every list
+        for block in incidence.blocks(batches):
+            keys = block.column(0).combine_chunks().dictionary_encode()
+            terms, names = keys.indices.to_numpy(zero_copy_only=False), keys.dictionary
+            kinds, codes = block.column(1).to_numpy(), block.column(3).to_numpy()
+            elements = block.column(2).combine_chunks()
+            degrees = np.zeros(len(names), np.int64)
+            degrees[terms[kinds < 0]] = codes[kinds < 0]
+            if names[0].as_py() == name:
+                degrees[0] = degree
+            else:
+                seen = None
+            for a in range(0, len(terms), step):
+                part = slice(a, a + step)
+                term, kind, code = terms[part], kinds[part], codes[part]
+                known = np.flatnonzero((kind >= 0) & (code >= 0))
+                lengths = starts[code[known] + 1] - starts[code[known]]
+                cells = np.repeat(known * n, lengths) + held[incidence.stretches(starts[code[known]], lengths)]
+                met = np.bincount(cells, minlength=len(term) * n).reshape(len(term), n)
+                free = (met == 0) & (kind == 1)[:, None]
+                upto = np.cumsum(np.where((kind == 0)[:, None], met, free), axis=0)
+                first = np.flatnonzero(np.diff(term, prepend=-1))
+                before = np.concatenate((np.zeros((1, n), np.int64), upto[first[1:] - 1]))
+                if seen is not None and (a == 0 or term[0] == terms[a - 1]):
+                    before[0] -= seen
+                place = upto - before[term - term[0]]
+                seen = place[-1].copy()
+                wanted = np.flatnonzero(kind == 1)
+                at, lists = np.nonzero(free)
+                ends = np.concatenate(([0], np.cumsum(free.sum(axis=1)[wanted]))).astype(np.int32)
+                entries = pa.StructArray.from_arrays([ids.take(pa.array(lists)), pa.array(place[at, lists])], ["list_id", "observed_ec"])
+                rows = [names.take(pa.array(term[wanted])), elements.take(pa.array(wanted + a)), pa.array(degrees[term[wanted]])]
+                rows.append(pa.ListArray.from_arrays(pa.array(ends), entries))
+                yield pa.RecordBatch.from_arrays(rows, ["term_id", "element", "term_size", "lists"])
+            name, degree = names[-1].as_py(), int(degrees[-1])
+
+    return run
 
 
 def _report(given: DataFrame, known: DataFrame, column: str, what: str) -> None:

@@ -57,16 +57,28 @@ def collected(members: DataFrame, set_id: str, vertex: str) -> Members | None:
     return Members(table, v.dictionary, s.dictionary, sets, starts.astype(np.int64), sets[order].astype(np.int32), order)
 
 
+def coded(edges: DataFrame, vertex: str, members: Members, others: bool = True) -> DataFrame:
+    """``edges`` with the number of their vertex as ``code``, -1 if it is no member, or, unless ``others``, without these."""
+    codes = pa.table({vertex: members.vertices, "code": pa.array(np.arange(len(members.vertices), dtype=np.int64))})
+    known = F.broadcast(edges.sparkSession.createDataFrame(codes))  # at most MEMBERS rows
+    rows = edges.join(known, vertex, "left" if others else "inner")
+    return rows.withColumn("code", F.coalesce("code", F.lit(-1).cast("long")))
+
+
+def in_one_place(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """``rows`` with all of a key together, sorted by key and ``order``.
+
+    The number of partitions is given: the work of a task follows what it gives, not the
+    few bytes it reads, by which they would be made fewer.
+    """
+    parts = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, key).sortWithinPartitions(key, *order)
+
+
 def by_key(edges: DataFrame, key: str, vertex: str, members: Members, others: bool = False) -> DataFrame:
     """(key, code) of the edges whose vertex is a member, all of a key together; with ``others`` the rest as -1."""
-    spark = edges.sparkSession
-    codes = pa.table({vertex: members.vertices, "code": pa.array(np.arange(len(members.vertices), dtype=np.int32))})
-    known = F.broadcast(spark.createDataFrame(codes))  # at most MEMBERS rows
-    rows = edges.join(known, vertex, "left" if others else "inner")
-    rows = rows.select(F.col(key).alias("key"), F.coalesce("code", F.lit(-1)).alias("code"))
-    # a given number: tasks follow what they give, not the few bytes they read
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key")
+    rows = coded(edges, vertex, members, others)
+    return in_one_place(rows.select(F.col(key).alias("key"), "code"), "key")
 
 
 def stretches(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -85,7 +97,8 @@ def even_slices(lengths: np.ndarray, most: int) -> Iterator[slice]:
         at = to
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches put together to ``EDGES`` rows or more."""
     held, n = [], 0
     for batch in batches:
         held.append(batch)
@@ -106,7 +119,7 @@ def counted(
     """
     name, size, row = None, 0, None
     step = max(1, CELLS // max(1, n))
-    for block in _blocks(batches):
+    for block in blocks(batches):
         keys = block.column(0).combine_chunks().dictionary_encode()
         at, names = keys.indices.to_numpy(zero_copy_only=False), keys.dictionary
         codes = block.column(1).to_numpy()

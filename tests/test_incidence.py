@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom import TermScoring, score_element_set
+from graphloom import TermScoring, rank_profiles, score_element_set
 from graphloom.operators import incidence
 
 
@@ -31,7 +31,8 @@ def same(found, wanted):
     found, wanted = (sorted(map(tuple, x.collect()), key=repr) for x in (found, wanted))
     assert [r[:2] for r in found] == [r[:2] for r in wanted] and len(found)
     for a, b in zip(found, wanted, strict=True):
-        assert a[2:] == pytest.approx(b[2:], rel=1e-9, abs=1e-12)
+        for x, y in zip(a[2:], b[2:], strict=True):
+            assert x == (pytest.approx(y, rel=1e-9, abs=1e-12) if isinstance(y, float) else y)
 
 
 def scores_in_one_place(many, monkeypatch, method):
@@ -69,3 +70,22 @@ def test_neighbors_shuffle_edges_only(spark, many, monkeypatch, small_blocks):
     assert {r.set_id for r in wanted.collect()} == {1, 5, 9, None}
     same(found, wanted)
     assert scoring.graph.neighbors(sets.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["cumulative", "positional"])
+@pytest.mark.parametrize("some", [False, True])
+def test_missing_elements_are_numbered_in_one_place(spark, many, monkeypatch, small_blocks, mode, some):
+    scoring, _ = many
+    rng = random.Random(4)
+    names = [f"E{i}" for i in rng.sample(range(45), 20)]
+    rows = [(i, e, r) for i in (1, 2, None) for r, e in enumerate(rng.sample(names, 12), 1)]
+    rows += [(1, rows[0][1], 1), (1, rows[3][1], 7), (3, "none", 1), (4, "E0", None)]
+    ranks = spark.createDataFrame(rows, "list_id long, element string, rank int")
+    terms = scoring.terms.where("k > 9").select("term") if some else None
+    found = rank_profiles(scoring, ranks, terms, rank_mode=mode, missing=True)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(incidence, "MEMBERS", 0)
+    wanted = rank_profiles(scoring, ranks, terms, rank_mode=mode, missing=True)
+    assert "MapInArrow" not in wanted._jdf.queryExecution().executedPlan().toString()
+    assert found.dtypes == wanted.dtypes
+    same(found, wanted)
