@@ -54,6 +54,10 @@ def test_accurate_scores_shuffle_edges_only(spark, many, monkeypatch, small_bloc
     scores_in_one_place(many, monkeypatch, "accurate")
 
 
+def test_fast_scores_shuffle_edges_only(spark, many, monkeypatch, small_blocks):
+    scores_in_one_place(many, monkeypatch, "fast")
+
+
 def test_rounding_equals_that_of_spark(spark):
     rng = np.random.default_rng(1)
     values = [0.0, 5e-7, 1.5e-6, 2.5e-6, -2.5e-6, 1.0000005, 0.3000005, 1e300, -0.0, 123456.7890125, 8.0]
